@@ -3,7 +3,7 @@
 The global n-gram order (rare first, by a sketch of document frequencies over all texts, then by hash) is cut into fragments.
 Texts meet on the n-grams that the order's prefix bound allows; each fragment of a pair counts its partial overlap by itself and
 the counts are summed per pair. A bucket of texts that share an n-gram is not expanded into pairs: first every member is compared
-with the bucket's least member, then only members that are still in different components are compared, after size and parity
+with the bucket's least member, then one pair of each two components, then all pairs that are still in different components, after size and parity
 bounds that lose no link."""
 
 from __future__ import annotations
@@ -97,29 +97,50 @@ def _segments(k: int):
                         if y > x:
                             rows["node"].append(int(node[d]))
                             rows["frag"].append(f)
-                            rows["grams"].append(own[x:y].tobytes())
+                            rows["grams"].append(_packed(own[x:y]))
                 yield pa.RecordBatch.from_pydict({"node": pa.array(rows["node"], pa.int64()), "frag": pa.array(rows["frag"], pa.int32()), "grams": pa.array(rows["grams"], pa.binary())})
 
     return run
 
 
+def _packed(grams: np.ndarray) -> bytes:
+    """The 40 bits after a fragment's own 2 of each n-gram hash, five bytes each: sets travel, so they travel small."""
+    return np.ascontiguousarray(((grams << U(FRAGMENTS_LOG2)) >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(U).ravel()
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        both = [len(np.intersect1d(np.frombuffer(p, U), np.frombuffer(q, U), assume_unique=True)) for p, q in zip(x, y, strict=True)]
-        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "overlap": pa.array(both, pa.int64())})
+        x, y = batch.column("x"), batch.column("y")
+        both, was, own = [], None, None
+        for p, q in zip(x, y, strict=True):
+            if (now := p.as_py()) != was:
+                was, own = now, _unpacked(now)
+            both.append(len(np.intersect1d(own, _unpacked(q.as_py()))))
+        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "frag": batch.column("frag"), "overlap": pa.array(both, pa.int64())})
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets are similar enough: each fragment's overlap is counted by itself, then summed."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
-    ids = small(written(ids, "join-ids"))
-    cut = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_segments(k), "node long, frag int, grams binary").dropDuplicates(["node", "frag"])
-    cut = written(cut, "join-segments")
-    left = cut.select(F.col("node").alias("a"), "frag", F.col("grams").alias("x"))
-    right = cut.select(F.col("node").alias("b"), "frag", F.col("grams").alias("y"))
-    met = pairs.select("a", "b").join(left, "a").join(right, ["b", "frag"]).select("a", "b", "x", "y")
-    total = met.mapInArrow(_overlaps, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("both"))
+    """Written pairs (a, b) of nodes whose sets are similar enough: each fragment's overlap is counted by itself, then summed.
+
+    A set is shuffled once as a pair's `a`, whatever the number of its pairs, and once for each pair as `b`."""
+    ids = classes.select("node", F.col("rep").alias("doc_id"))
+
+    def cut(nodes: DataFrame, name: str) -> DataFrame:
+        own = small(written(nodes.distinct().join(ids, "node").select("doc_id").distinct(), "join-ids"))
+        rows = docs.join(own, "doc_id", "left_semi").select("text").mapInArrow(_segments(k), "node long, frag int, grams binary")
+        return rows.select(F.col("node").alias(name), "frag", F.col("grams").alias("x" if name == "a" else "y"))
+
+    hubs = cut(pairs.select(F.col("a").alias("node")), "a").join(small(written(pairs.select("a").distinct(), "join-hubs")), "a", "left_semi")
+    others = cut(pairs.select(F.col("b").alias("node")), "b").join(small(pairs.select("a", "b")), "b")
+    met = others.join(hubs, ["a", "frag"]).select("a", "b", "frag", "x", "y")
+    part = met.mapInArrow(_overlaps, "a long, b long, frag int, overlap long").groupBy("a", "b", "frag").agg(F.max("overlap").alias("overlap"))  # rows may repeat
+    total = part.groupBy("a", "b").agg(F.sum("overlap").alias("both"))
     size = classes.select("node", "n")
     total = total.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
     return total.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b")
@@ -133,13 +154,23 @@ def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
     return both.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))).select("a", "b")
 
 
-def _mixed_pairs(num: int, den: int):
-    """Pairs of different components in a bucket, from rows sorted by bucket and size; all buckets advance together by the distance in them."""
+def _mixed_pairs(num: int, den: int, every: bool):
+    """Pairs of different components in a bucket, from rows sorted by bucket and size; all buckets advance together by the distance in them.
+
+    Either every pair that sizes and parities allow, or one for each two components."""
+
+    def one(columns: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.lexsort((columns[1], columns[0], columns[3], columns[2]))
+        columns = [c[order] for c in columns]
+        first = np.ones(len(order), bool)
+        first[1:] = (columns[2][1:] != columns[2][:-1]) | (columns[3][1:] != columns[3][:-1]) | every & ((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
+        return [c[first] for c in columns]
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         sig, node, comp, n = (t.column(c).to_numpy() for c in ("sig", "node", "comp", "n"))
         sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(U).reshape(-1, SKETCH_BITS // 64)
-        left, right, active, step = [], [], np.arange(len(sig)), 0
+        found = [[] for _ in range(4)]
+        active, step = np.arange(len(sig)), 0
         while len(active):
             step += 1
             active = active[active + step < len(sig)]
@@ -150,10 +181,13 @@ def _mixed_pairs(num: int, den: int):
             x, y = active[ask], other[ask]
             apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
             ok = apart * (num + den) <= (n[x] + n[y]) * (den - num)
-            left.append(np.minimum(node[x[ok]], node[y[ok]]))
-            right.append(np.maximum(node[x[ok]], node[y[ok]]))
-        found = np.unique(np.stack([np.concatenate(left or [node[:0]]), np.concatenate(right or [node[:0]])]), axis=1)
-        return pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+            x, y = x[ok], y[ok]
+            if len(x):
+                x, y = np.where(comp[x] < comp[y], x, y), np.where(comp[x] < comp[y], y, x)
+                for have, new in zip(found, one([node[x], node[y], comp[x], comp[y]]), strict=True):
+                    have.append(new)
+        columns = one([np.concatenate(c or [node[:0]]) for c in found])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "ca", "cb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -188,7 +222,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         mins = least(both).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = written(large, "join-edges")
         mins = least(large)
         star = large.join(mins, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(mins.select("u", F.col("m").alias("v")))
         now = written(star.where("u != v").distinct(), "join-edges")
@@ -215,19 +248,25 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataF
     shared = each.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("most")).where("center != most").select("sig", "center")
     members = written(each.join(shared, "sig").distinct(), "join-members")
     first = members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    first = written(_bounded(first, classes, num, den), "join-pairs")
+    first = _bounded(first, classes, num, den).groupBy("b").agg(F.min("a").alias("a"))  # one comparison each; the second round misses none
+    first = written(first.select("a", "b"), "join-pairs")
     links = written(_verified(first, docs, classes, words, num, den), "join-links")
     labels = components(links)
 
-    named = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("comp"))
-    named = written(named, "join-named")
-    split = named.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("sig")
-    rest = named.join(split, "sig").join(classes.select("node", "n", "sketch"), "node")
-    rest = rest.repartition("sig").sortWithinPartitions("sig", "n").select("sig", "node", "comp", "n", "sketch")
-    more = written(rest.mapInArrow(_mixed_pairs(num, den), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "join-pairs")
-    if more.head(1):
-        links = written(links.unionByName(_verified(more, docs, classes, words, num, den)), "join-links")
-        labels = components(links)
+    tested = first
+    for every in (False, True):  # one pair for each two components; then all that are left in different ones
+        named = written(members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("comp")), "join-named")
+        split = named.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("sig")
+        rest = named.join(split, "sig").join(classes.select("node", "n", "sketch"), "node")
+        rest = rest.repartition("sig").sortWithinPartitions("sig", "n").select("sig", "node", "comp", "n", "sketch")
+        more = rest.mapInArrow(_mixed_pairs(num, den, every), "a long, b long, ca long, cb long")
+        key = ["a", "b"] if every else ["ca", "cb"]
+        more = more.groupBy(*key).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").join(tested, ["a", "b"], "left_anti")
+        more = written(more, "join-pairs")
+        if more.head(1):
+            links = written(links.unionByName(_verified(more, docs, classes, words, num, den)), "join-links")
+            labels = components(links)
+        tested = tested.unionByName(more)
 
     own = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = own.groupBy("label").agg(F.min("rep").alias("component_id"))
