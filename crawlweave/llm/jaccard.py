@@ -20,7 +20,9 @@ from crawlweave.runtime import small, written
 
 U = np.uint64
 SLOTS_LOG2, PARTS = 18, 64
+#: Bits of a text's parity sketch, and of the wide one of texts of more n-grams, and how many wide ones (1 KB each) may be broadcast.
 SKETCH_BITS = 512
+WIDE_BITS, WIDE_FROM, WIDE_ROWS = 8192, 800, 60_000
 FRAGMENTS_LOG2 = 2
 
 
@@ -67,6 +69,7 @@ def _profile(k: int, num: int, den: int, levels):
                 node = K.mixed(K.sums(K.mixed(g ^ U(0x2545F4914F6CDD1D)), ends) + n.astype(U))
                 bits = np.bincount(docs * SKETCH_BITS + (g & U(SKETCH_BITS - 1)).astype(np.int64), minlength=(j - i) * SKETCH_BITS) & 1
                 sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                wide = [None if n[d] <= WIDE_FROM else np.packbits((np.bincount((g[ends[d] : ends[d + 1]] & U(WIDE_BITS - 1)).astype(np.int64), minlength=WIDE_BITS) & 1).astype(np.uint8)).view(np.int64) for d in range(j - i)]
                 order = np.argsort((docs << 6) | level[(g >> U(64 - SLOTS_LOG2)).astype(np.int64)], kind="stable")
                 size = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
                 place = np.arange(len(g)) - np.repeat(ends[:-1], n)
@@ -76,6 +79,7 @@ def _profile(k: int, num: int, den: int, levels):
                     "n": pa.array(n.astype(np.int64)),
                     "node": pa.array(node.view(np.int64), mask=n == 0),
                     "sketch": pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * 8, 8, dtype=np.int32)), pa.array(sketch)),
+                    "wide": pa.array(wide, pa.list_(pa.int64())),
                     "tokens": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(tokens)),
                 })
 
@@ -154,6 +158,19 @@ def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
     return both.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))).select("a", "b")
 
 
+def _narrowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Written pairs (a, b) without those of long texts that wide sketches rule out."""
+    wide = classes.where("wide is not null").select("node", "n", "wide")
+    both = written(pairs, "join-candidates")
+    wide = wide.join(both.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    wide = small(written(wide, "join-wide"), WIDE_ROWS)
+    side = lambda x: wide.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    both = both.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    far = (apart * (num + den) > (F.col("na") + F.col("nb")) * (den - num)) & F.col("wa").isNotNull() & F.col("wb").isNotNull()
+    return written(both.where(~F.coalesce(far, F.lit(False))).select("a", "b"), "join-pairs")
+
+
 def _mixed_pairs(num: int, den: int, every: bool):
     """Pairs of different components in a bucket, from rows sorted by bucket and size; all buckets advance together by the distance in them.
 
@@ -240,16 +257,16 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataF
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(_frequencies(docs, words))  # 256 KB, whatever the input
-    profile = written(docs.mapInArrow(_profile(words, num, den, levels), "doc_id long, n long, node long, sketch array<long>, tokens array<long>"), "join-profile")
+    profile = written(docs.mapInArrow(_profile(words, num, den, levels), "doc_id long, n long, node long, sketch array<long>, wide array<long>, tokens array<long>"), "join-profile")
     part = profile.where("node is not null and doc_id is not null")
-    classes = written(part.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-classes")
+    classes = written(part.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "join-classes")
 
     each = part.select(F.explode("tokens").alias("sig"), "node")
     shared = each.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("most")).where("center != most").select("sig", "center")
     members = written(each.join(shared, "sig").distinct(), "join-members")
     first = members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     first = _bounded(first, classes, num, den).groupBy("b").agg(F.min("a").alias("a"))  # one comparison each; the second round misses none
-    first = written(first.select("a", "b"), "join-pairs")
+    first = _narrowed(first.select("a", "b"), classes, num, den)
     links = written(_verified(first, docs, classes, words, num, den), "join-links")
     labels = components(links)
 
@@ -262,7 +279,7 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataF
         more = rest.mapInArrow(_mixed_pairs(num, den, every), "a long, b long, ca long, cb long")
         key = ["a", "b"] if every else ["ca", "cb"]
         more = more.groupBy(*key).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").join(tested, ["a", "b"], "left_anti")
-        more = written(more, "join-pairs")
+        more = _narrowed(more, classes, num, den)
         if more.head(1):
             links = written(links.unionByName(_verified(more, docs, classes, words, num, den)), "join-links")
             labels = components(links)
