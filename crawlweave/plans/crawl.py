@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crawlweave.functions import content, extract, http, urls
 from crawlweave.operators import edges as E
 from crawlweave.operators import frontier as Q
+from crawlweave.runtime import remove
 from crawlweave.sources.store import Store
 
 URLS = "id string, crawl_run_id string, url string, normalized_url string, depth int, redirect_count int, status string, http_status_code int, content_type string, attempt_count int, max_attempts int, next_attempt_at timestamp, last_error string, last_error_type string, discovered_from_url_id string, claimed_at timestamp, finished_at timestamp, seq bigint, fetches int"
@@ -31,18 +32,26 @@ def crawl(spark: SparkSession, site: DataFrame, seed: str, folder: str, now: str
     address gets its n-th response, the last one repeats, an unknown address is a 404. Time is a logical clock that starts at now and is
     moved to the next retry when nothing else is left."""
     store = Store(spark, folder)
-    first = spark.range(1).select(urls.normalized(F.lit(seed)).alias("k"), urls.registrable(urls.host(urls.normalized(F.lit(seed)))).alias("s"), urls.host(urls.normalized(F.lit(seed))).alias("h")).first()
-    if first["k"] is None:
+    key = spark.range(1).select(urls.normalized(F.lit(seed)).alias("k")).first()["k"]
+    if key is None:
         raise ValueError(f"{seed} is not an http(s) address")
-    scope = first["s"] if policy == "registrable_domain" else first["h"]
+    host = spark.range(1).select(urls.host(F.lit(key)).alias("h")).first()["h"]
+    scope = spark.range(1).select(urls.registrable(F.lit(host)).alias("s")).first()["s"] if policy == "registrable_domain" else host
     run = "run-1"
     clock = F.lit(now).cast("timestamp")
-    start = spark.range(1).select(F.sha2(F.lit(run + first["k"]), 256).alias("id"), F.lit(run).alias("crawl_run_id"), F.lit(seed).alias("url"), F.lit(first["k"]).alias("normalized_url"), *[F.lit(v).cast(t).alias(n) for n, t, v in (("depth", "int", 0), ("redirect_count", "int", 0), ("status", "string", "queued"), ("http_status_code", "int", None), ("content_type", "string", None), ("attempt_count", "int", 0), ("max_attempts", "int", max_attempts))], clock.alias("next_attempt_at"), *[F.lit(v).cast(t).alias(n) for n, t, v in (("last_error", "string", None), ("last_error_type", "string", None), ("discovered_from_url_id", "string", None), ("claimed_at", "timestamp", None), ("finished_at", "timestamp", None), ("seq", "bigint", 0), ("fetches", "int", 0))])
+    start = spark.range(1).select(F.sha2(F.lit(run + key), 256).alias("id"), F.lit(run).alias("crawl_run_id"), F.lit(seed).alias("url"), F.lit(key).alias("normalized_url"), *[F.lit(v).cast(t).alias(n) for n, t, v in (("depth", "int", 0), ("redirect_count", "int", 0), ("status", "string", "queued"), ("http_status_code", "int", None), ("content_type", "string", None), ("attempt_count", "int", 0), ("max_attempts", "int", max_attempts))], clock.alias("next_attempt_at"), *[F.lit(v).cast(t).alias(n) for n, t, v in (("last_error", "string", None), ("last_error_type", "string", None), ("discovered_from_url_id", "string", None), ("claimed_at", "timestamp", None), ("finished_at", "timestamp", None), ("seq", "bigint", 0), ("fetches", "int", 0))])
     version = store.commit({"urls": start, "edges": spark.createDataFrame([], EDGES)}, store.version())
     last_call = site.groupBy("url").agg(F.max("call_no").alias("calls"))
     site = site.join(last_call, "url")
     limit = False
     step = 0
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        """A step's intermediate table, written so that later expressions refer to columns instead of repeating how those are made."""
+        path = f"{store.folder}/steps/{step}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     while step < max_steps and not limit:
         table, graph = store.read("urls"), store.read("edges")
         state = table.agg(F.count_if(Q.eligible(clock)).alias("ready"), F.min(F.when(F.col("status") == "retryable_failed", F.col("next_attempt_at"))).alias("later"), F.count("*").alias("known")).first()
@@ -52,11 +61,14 @@ def crawl(spark: SparkSession, site: DataFrame, seed: str, folder: str, now: str
             clock = F.lit(state["later"])
             continue
         step += 1
-        task = Q.claim(table, batch, clock)
+        task = cut(Q.claim(table, batch, clock), "claimed")
         got = task.join(site.select(F.col("url").alias("s_url"), "call_no", "calls", "status_code", "headers", "body"), (F.col("url") == F.col("s_url")) & (F.col("call_no") == F.least(F.col("fetches") + 1, F.col("calls"))), "left")
         got = got.withColumns({"status_code": F.coalesce("status_code", F.lit(404)), "has_body": F.coalesce(F.length("body") > 0, F.lit(False)), "ct": F.coalesce(content.header(F.col("headers"), "content-type"), F.lit("application/octet-stream"))})
-        got = got.withColumns({"act": http.action(F.col("status_code"), F.col("has_body")), "kind": content.kind(F.col("ct")), "location": urls.resolved(content.header(F.col("headers"), "location"), F.col("url")), "has_location": F.coalesce(F.trim(content.header(F.col("headers"), "location")) != "", F.lit(False))})
-        got = got.withColumns({"target": urls.normalized(F.col("location")), "again": http.retry(F.col("act"), F.col("attempt_count"), F.col("max_attempts"), http.retry_after_ms(content.header(F.col("headers"), "retry-after"), clock))})
+        got = got.withColumns({"act": http.action(F.col("status_code"), F.col("has_body")), "kind": content.kind(F.col("ct")), "location": content.header(F.col("headers"), "location"), "after": content.header(F.col("headers"), "retry-after")})
+        fetched = cut(got.drop("headers", "s_url"), "fetched")
+        got = fetched.drop("body").withColumns({"location": urls.resolved(F.col("location"), F.col("url")), "has_location": F.coalesce(F.trim("location") != "", F.lit(False)), "after": http.retry_after_ms(F.col("after"), clock)})
+        got = cut(got, "resolved").withColumns({"target": urls.normalized(F.col("location")), "again": http.retry(F.col("act"), F.col("attempt_count"), F.col("max_attempts"), F.col("after"))})
+        got = cut(got, "targets")
         turned = F.when(~F.col("has_location"), "redirect_missing_location").when(F.col("redirect_count") >= MAX_REDIRECTS, "redirect_limit_exceeded").when(F.col("target").isNull(), "redirect_invalid_location")
         got = got.withColumn("bad_turn", F.when(F.col("act") == "redirect", turned))
         act, self_turn = F.col("act"), F.col("target") == F.col("normalized_url")
@@ -68,16 +80,17 @@ def crawl(spark: SparkSession, site: DataFrame, seed: str, folder: str, now: str
         )
         why = F.coalesce("bad_turn", F.when(act == "not_found", "http_status").when(act == "unexpected", "unexpected_status").when(act == "success_with_body", "unsupported_content_type").otherwise(act))
         outcomes = got.select("id", result.alias("action"), F.col("status_code").alias("http"), F.col("ct").alias("content_type"), why.alias("error"), why.alias("error_type"), F.col("again.delay_ms").alias("delay_ms"), F.col("again.consumes").alias("consumes"), F.col("location").alias("new_url"))
-        pages = got.where((act == "success_with_body") & (F.col("kind") == "html")).select("id", "seq", "url", "depth", extract.html_links("body").alias("h")).select("id", "seq", "url", "depth", F.explode("h.links").alias("l"))
+        pages = fetched.where((act == "success_with_body") & (F.col("kind") == "html")).select("id", "seq", "url", "depth", extract.html_links("body").alias("h")).select("id", "seq", "url", "depth", F.explode("h.links").alias("l"))
         found = pages.select(F.col("id").alias("from_url_id"), (F.col("depth") + 1).alias("depth"), F.lit(0).alias("redirect_count"), F.col("l.source").alias("source"), urls.resolved(F.col("l.href"), F.col("url")).alias("discovered_url"), F.struct(F.col("seq"), F.col("l.place").alias("place")).alias("at"))
         moved = got.where((act == "redirect") & F.col("bad_turn").isNull() & ~self_turn).select(F.col("id").alias("from_url_id"), "depth", (F.col("redirect_count") + 1).alias("redirect_count"), F.lit("redirect").alias("source"), F.col("location").alias("discovered_url"), F.struct(F.col("seq"), F.lit(0).alias("place")).alias("at"))
-        cand = found.unionByName(moved).where("discovered_url is not null").withColumn("key", urls.normalized(F.col("discovered_url"))).withColumn("in_scope", urls.in_scope(F.col("key"), policy, scope))
+        cand = cut(found.unionByName(moved).where("discovered_url is not null"), "found").withColumn("key", urls.normalized(F.col("discovered_url")))
+        cand = cut(cut(cand, "keyed").withColumn("in_scope", urls.in_scope(F.col("key"), policy, scope)), "candidates")
         deep = F.lit(False) if max_depth is None else F.col("depth") > max_depth
         fresh = cand.where(F.col("in_scope") & ~deep).join(table.select(F.col("normalized_url").alias("key")), "key", "left_anti")
         heads = E.first_by(fresh.select("key", "at", "from_url_id", "depth", "redirect_count", "discovered_url"), ["key"], ["at"])
         room = None if max_urls is None else max(0, max_urls - state["known"])
         heads = heads if room is None else heads.orderBy("at").limit(room)
-        new = heads.select(F.sha2(F.concat(F.lit(run), "key"), 256).alias("id"), F.lit(run).alias("crawl_run_id"), F.col("discovered_url").alias("url"), F.col("key").alias("normalized_url"), "depth", "redirect_count", F.lit("queued").alias("status"), *[F.lit(None).cast(t).alias(n) for n, t in (("http_status_code", "int"), ("content_type", "string"))], F.lit(0).alias("attempt_count"), F.lit(max_attempts).alias("max_attempts"), clock.alias("next_attempt_at"), *[F.lit(None).cast(t).alias(n) for n, t in (("last_error", "string"), ("last_error_type", "string"))], F.col("from_url_id").alias("discovered_from_url_id"), *[F.lit(None).cast("timestamp").alias(n) for n in ("claimed_at", "finished_at")], (F.lit(step).cast("bigint") * (1 << 40) + F.col("at.seq") % (1 << 20) * (1 << 20) + F.col("at.place")).alias("seq"), F.lit(0).alias("fetches"))
+        new = cut(heads.select(F.sha2(F.concat(F.lit(run), "key"), 256).alias("id"), F.lit(run).alias("crawl_run_id"), F.col("discovered_url").alias("url"), F.col("key").alias("normalized_url"), "depth", "redirect_count", F.lit("queued").alias("status"), *[F.lit(None).cast(t).alias(n) for n, t in (("http_status_code", "int"), ("content_type", "string"))], F.lit(0).alias("attempt_count"), F.lit(max_attempts).alias("max_attempts"), clock.alias("next_attempt_at"), *[F.lit(None).cast(t).alias(n) for n, t in (("last_error", "string"), ("last_error_type", "string"))], F.col("from_url_id").alias("discovered_from_url_id"), *[F.lit(None).cast("timestamp").alias(n) for n in ("claimed_at", "finished_at")], (F.lit(step).cast("bigint") * (1 << 40) + F.col("at.seq") % (1 << 20) * (1 << 20) + F.col("at.place")).alias("seq"), F.lit(0).alias("fetches")), "new")
         ids = task.select("id").withColumn("hit", F.lit(1))
         after = Q.outcome(table, outcomes, clock).join(ids, "id", "left").withColumn("fetches", F.col("fetches") + F.coalesce("hit", F.lit(0))).drop("hit").unionByName(new)
         known = table.select(F.col("normalized_url").alias("key"), F.col("id").alias("to_url_id")).unionByName(new.select(F.col("normalized_url").alias("key"), F.col("id").alias("to_url_id")))
@@ -85,6 +98,7 @@ def crawl(spark: SparkSession, site: DataFrame, seed: str, folder: str, now: str
         reason = E.decided(F.col("in_scope"), F.col("depth"), max_depth, F.col("to_url_id").isNotNull(), F.lit(False))
         seen = seen.select(F.lit(run).alias("crawl_run_id"), "from_url_id", F.col("key").alias("normalized_discovered_url"), "source", F.when(reason.isNull(), F.col("to_url_id")).alias("to_url_id"), "in_scope", reason.alias("skip_reason"), "discovered_url", (F.lit(step).cast("bigint") * (1 << 40) + F.col("at.seq") % (1 << 20) * (1 << 20) + F.col("at.place")).alias("ord"))
         version = store.commit({"urls": after, "edges": E.upserted(graph, seen, "ord").select(*graph.columns)}, version)
+        remove(spark, f"{store.folder}/steps/{step}")
         if max_urls is not None:
             limit = bool(store.read("edges").where((F.col("skip_reason") == "limit") & (F.col("ord") >= step << 40)).head(1))
     failed = store.read("urls").agg(F.count_if(F.col("status").isin("permanent_failed", "blocked")).alias("n"))
