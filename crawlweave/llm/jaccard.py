@@ -1,8 +1,9 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global n-gram order (rare first, by a sketch of document frequencies over all texts, then by hash) is cut into fragments.
-Texts meet on the n-grams that the order's prefix bound allows; each fragment of a pair counts its partial overlap by itself and
-the counts are summed per pair. A bucket of texts that share an n-gram is not expanded into pairs: first every member is compared
+Texts meet on the n-grams that the order's prefix bound allows; long texts, whose prefixes hold many n-grams of chance, meet on whole
+slots of the hash order instead, more slots than similar texts may differ in n-grams. Each fragment of a pair counts its partial overlap
+by itself and the counts are summed per pair. A bucket of texts that share an n-gram is not expanded into pairs: first every member is compared
 with the bucket's least member, then one pair of each two components, then all pairs that are still in different components, after size and parity
 bounds that lose no link."""
 
@@ -55,8 +56,48 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     return np.where(total <= usual, 0, np.log2(np.maximum(total / usual, 1)).astype(int) + 1).clip(0, 60).astype(np.uint8)
 
 
+def size_classes(num: int, den: int) -> tuple[np.ndarray, int]:
+    """Least sizes of classes of which a set's partners are in the same or an adjacent one, and the first class of long sets.
+
+    Sets are long where similar ones may differ in three eighths of a sketch's bits, so that it hardly tells any two apart."""
+    least = [1]
+    while num < den and least[-1] < 1 << 34:
+        least.append(least[-1] * den // num + 1)
+    long = next((s for s in range(len(least) - 1) if _most_apart(least, s, num, den) >= SKETCH_BITS * 3 // 8), len(least))
+    return np.array(least, np.int64), long
+
+
+def _most_apart(least, s: int, num: int, den: int) -> int:
+    """How many n-grams may be in just one of two similar sets, the larger of them in class s."""
+    return int(2 * (least[s + 1] - 1) * (den - num) // (den + num))
+
+
+def slot_tokens(grams: np.ndarray, usual: np.ndarray, s: int, apart: int) -> np.ndarray:
+    """Digests of a long set's slots in the scheme of class s: ranges of the hash order, more than the `apart` n-grams that may differ.
+
+    A differing n-gram changes one slot, so similar sets share a slot's content, one with n-grams if either set fills more than `apart`
+    slots. Frequent n-grams are left out; a set that then fills too few slots also gives its slots with them, and if those are too few
+    too, the empty ones as well. Two such sets give both kinds, so they still meet."""
+    slots = apart + apart // 5 + 8
+
+    def digests(own: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        salt = K.mixed(np.arange(slots, dtype=U) + U((2 * s + kind) << 40))
+        slot = ((own >> U(32)) * U(slots) >> U(32)).astype(np.int64)
+        begin = np.flatnonzero(np.diff(slot, prepend=-1))
+        sums = np.add.reduceat(K.mixed(own ^ U(0x2545F4914F6CDD1D)), begin) if len(begin) else own[:0]
+        return K.mixed(sums + salt[slot[begin]]), slot[begin], salt
+
+    out, _, _ = digests(grams[usual], 0)
+    if len(out) <= apart:
+        whole, filled, salt = digests(grams, 1)
+        empty = K.mixed(np.delete(salt, filled)) if len(whole) <= apart else whole[:0]
+        out = np.concatenate((out, whole, empty))
+    return out
+
+
 def _profile(k: int, num: int, den: int, levels):
-    """Per text: size and digest of its n-gram set, a parity sketch, and the prefix of the set in the global order."""
+    """Per text: size and digest of its n-gram set, a parity sketch, and its tokens: the prefix of the set in the global order, or slots."""
+    least, long = size_classes(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
@@ -71,9 +112,18 @@ def _profile(k: int, num: int, den: int, levels):
                 sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
                 wide = [None if n[d] <= WIDE_FROM else np.packbits((np.bincount((g[ends[d] : ends[d + 1]] & U(WIDE_BITS - 1)).astype(np.int64), minlength=WIDE_BITS) & 1).astype(np.uint8)).view(np.int64) for d in range(j - i)]
                 order = np.argsort((docs << 6) | level[(g >> U(64 - SLOTS_LOG2)).astype(np.int64)], kind="stable")
-                size = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
+                grade = np.searchsorted(least, n, side="right") - 1
+                size = np.where((n > 0) & (grade < long), n - (num * n + den - 1) // den + 1, 0)
                 place = np.arange(len(g)) - np.repeat(ends[:-1], n)
                 tokens = g[order][place < np.repeat(size, n)].view(np.int64)
+                if len(lengthy := np.flatnonzero(grade >= long - 1)):
+                    pieces = np.split(tokens, np.cumsum(size)[:-1])
+                    for d in lengthy.tolist():
+                        own = g[ends[d] : ends[d + 1]]
+                        usual = level[(own >> U(64 - SLOTS_LOG2)).astype(np.int64)] == 0
+                        for c in range(max(int(grade[d]), long), int(grade[d]) + 2):
+                            pieces[d] = np.concatenate((pieces[d], slot_tokens(own, usual, c, _most_apart(least, c, num, den)).view(np.int64)))
+                    tokens, size = np.concatenate(pieces), np.array([len(x) for x in pieces])
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(i, j - i).cast(pa.int64()),
                     "n": pa.array(n.astype(np.int64)),

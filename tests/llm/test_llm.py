@@ -112,6 +112,46 @@ def test_jaccard(spark, k, num, den):
     assert got == brute_components(rows, k, num, den)
 
 
+@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 80, 100)])
+def test_jaccard_of_long_texts(spark, k, num, den):
+    """Sizes on both sides of the first class of long sets, edits on both sides of the threshold, and texts made of few distinct words."""
+    least, long = jaccard.size_classes(num, den)
+    rows = []
+    for g, n in enumerate([int(least[long]) - 60, int(least[long]) + 60, int(least[long + 1]) + 40, int(least[long + 3])]):
+        base = prose(700 + g, n).split()
+        for c in range(6):
+            r, w = random.Random(g * 10 + c), list(base)
+            for at in r.sample(range(n), round(n * (1 - num / den) / (2 * k) * (0.8 + 0.1 * c)) if c else 0):
+                w[at] = f"edit{g}x{c}x{at}"
+            rows.append((g * 10 + c, " ".join(w[: n - 7 * c])))
+    docs = spark.createDataFrame([(a, b, "s", 1) for a, b in rows], DOCS)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, k, num, den).collect()}
+    assert got == brute_components(rows, k, num, den)
+    assert 4 < len({c for _, c in got.values()}) < len(rows)
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
+def test_similar_long_sets_share_a_slot(num, den):
+    least, long = jaccard.size_classes(num, den)
+    r = np.random.default_rng(5)
+    for trial in range(60):
+        s = long + trial % 4
+        n = int(r.integers(least[s], least[s + 1]))
+        one = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        gone = int(r.integers(0, n * (den - num) // den))
+        other = np.sort(np.delete(one, r.choice(len(one), gone, replace=False)))
+        if trial % 2:  # exchanged, not only taken away
+            fresh = r.integers(0, 2**64, gone, dtype=np.uint64)
+            other = np.unique(np.concatenate((np.delete(one, r.choice(len(one), gone // 3, replace=False)), fresh[: gone // 4])))
+        both = len(np.intersect1d(one, other))
+        if den * both < num * (len(one) + len(other) - both):
+            continue
+        top = int(np.searchsorted(least, max(len(one), len(other)), side="right")) - 1
+        for share in (0.0, 0.3, 0.95, 1.0):  # of n-grams that are frequent
+            kept = [jaccard.slot_tokens(x, (x & np.uint64(1023)) >= share * 1024, top, jaccard._most_apart(least, top, num, den)) for x in (one, other)]
+            assert len(np.intersect1d(*kept))
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(empty(spark), 3, 90, 100).count() == 0
 
