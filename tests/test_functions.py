@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlweave.functions import content, extract, http, urls
+from crawlweave.plans import registry
 
 NORMALIZED = [
     ("http://Example.com/a/", "https://example.com/a"),
@@ -62,3 +63,10 @@ def test_parsers():
     assert extract.image_size(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (3).to_bytes(4, "big") + (2).to_bytes(4, "big")) == (3, 2)
     assert extract.media_facts("pdf", b"not-a-valid-pdf")[1] == "failed"
     assert extract.pdf_facts(b"%PDF-1.4\n<< /Type /Pages /Count 1 >> << /Type /Page >>") == {"pageCount": 1}
+
+
+def test_format_bytes_of_every_page(spark, tmp_path):
+    """Ties of the one digit stay and go up, as toFixed(1) has it."""
+    sizes = {256: "256 B", 768: "768 B", 1023: "1023 B", 1024: "1.0 KB", 1280: "1.3 KB", 1792: "1.8 KB", 2304: "2.3 KB", 2816: "2.8 KB", 3000: "2.9 KB", 1310720: "1.3 MB"}
+    spark.createDataFrame([(n, "x" * n) for n in sizes], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.text for r in registry.format_bytes(spark, str(tmp_path)).collect()} == sizes
