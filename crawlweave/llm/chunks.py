@@ -85,30 +85,34 @@ def chunks(docs: DataFrame, mean: int = MEAN_CHUNK) -> DataFrame:
 def repeated_spans(docs: DataFrame, mean: int = MEAN_CHUNK, least_run: int = LEAST_RUN) -> DataFrame:
     """Spans that other documents have too: doc_id, start, end (code points, end exclusive), n_chunks, bytes, first_doc_id, is_first.
 
-    Only chunks of two different doc_ids count, and only runs of least_run bytes or more. first_doc_id is the least document that
-    has the span's first chunk, is_first says that this document is the least for each of its chunks: what others have may be
-    removed. Rows without doc_id or text and documents without such spans give no rows; rows that repeat a doc_id count as one
+    Only chunks of two different doc_ids count, and only runs of least_run bytes or more. A run is given in spans that end where this
+    document begins or ceases to be the least that has the chunks; these may be shorter. first_doc_id is the least document that
+    has the span's first chunk, is_first says that the span stays here: this document is the least for all of its chunks, or for
+    none of them but they have less than least_run bytes. Where it is false, others have all of it, and it may be removed. Rows without doc_id or text and documents without such spans give no rows; rows that repeat a doc_id count as one
     document. Other columns are not read."""
     every = chunks(docs, mean)
     count = every.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("d1", "d2", "first")
     held = every.join(count, ["d1", "d2"]).select("doc_id", "start", "size", "bytes", "first")
     w = Window.partitionBy("doc_id").orderBy("start", "size")
-    held = held.withColumn("fresh", F.coalesce((F.lag(F.col("start") + F.col("size")).over(w) < F.col("start")).cast("int"), F.lit(1)))
-    held = held.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = held.groupBy("doc_id", "run").agg(
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.coalesce(F.lag(F.col("start") + F.col("size")).over(w) < F.col("start"), F.lit(True))
+    held = held.withColumn("own", F.col("first") == F.col("doc_id")).withColumns({"fresh": fresh, "turn": F.lag("own").over(w) != F.col("own")})
+    held = held.withColumns({"run": F.sum(F.col("fresh").cast("int")).over(so_far), "part": F.sum((F.col("fresh") | F.col("turn")).cast("int")).over(so_far)})
+    parts = held.groupBy("doc_id", "run", "part").agg(
         F.min("start").cast("long").alias("start"),
         F.max(F.col("start") + F.col("size")).cast("long").alias("end"),
         F.count("*").alias("n_chunks"),
         F.sum("bytes").alias("bytes"),
         F.min_by("first", "start").alias("first_doc_id"),
-        F.bool_and(F.col("first") == F.col("doc_id")).alias("is_first"),
+        (F.bool_and("own") | (F.sum("bytes") < least_run)).alias("is_first"),
     )
-    return runs.where(F.col("bytes") >= least_run).select("doc_id", "start", "end", "n_chunks", "bytes", "first_doc_id", "is_first")
+    whole = parts.withColumn("whole", F.sum("bytes").over(Window.partitionBy("doc_id", "run")))
+    return whole.where(F.col("whole") >= least_run).select("doc_id", "start", "end", "n_chunks", "bytes", "first_doc_id", "is_first")
 
 
 def deduplicated(docs: DataFrame, mean: int = MEAN_CHUNK, least_run: int = LEAST_RUN) -> DataFrame:
     """docs with text freed of every span that a document of a smaller id has too; all other columns stay."""
-    spans = repeated_spans(docs, mean, least_run).where(~F.col("is_first") & (F.col("first_doc_id") != F.col("doc_id")))
+    spans = repeated_spans(docs, mean, least_run).where(~F.col("is_first"))
     cut = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     kept = docs.join(cut, "doc_id", "left")
     none = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))

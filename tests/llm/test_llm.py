@@ -66,6 +66,17 @@ def test_repeated_spans(spark):
     assert chunks.repeated_spans(empty(spark)).count() == 0
 
 
+def test_copies_with_a_shared_opening_keep_the_rest(spark):
+    """Documents 3 and 13 have the opening of the copies 5 and 9, 15 and 19 only, so the rest must stay in 5 and 15."""
+    copy, other = prose(61, 200), prose(64, 200)
+    rows = [(3, copy[:300] + " " + prose(62, 60)), (5, copy), (9, copy), (13, other[:90] + " " + prose(63, 60)), (15, other), (19, other)]
+    docs = spark.createDataFrame([(a, b, "s", 1) for a, b in rows], DOCS)
+    left = {r.doc_id: r.text for r in chunks.deduplicated(docs).collect()}
+    assert left[3] == rows[0][1] and left[9] == left[19] == ""
+    assert copy.endswith(left[5]) and len(copy) - 300 <= len(left[5]) < len(copy)
+    assert left[15] == other
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(700)]
