@@ -1,7 +1,9 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
-A chunk ends where the hash of the last 16 bytes is small, so an insertion moves only the chunks that it touches. Chunks are
-counted by 128-bit digest; those of two documents or more are joined back, and chunks that follow each other form a span."""
+A chunk ends at the least hash of any WINDOW places in a row, where a hash is that of the last 8 bytes. So an insertion moves only the
+chunks near it, no chunk is long, and a passage of n bytes has the same chunks wherever it stands, but for REACH bytes before the first
+and WINDOW - 1 after the last: every passage of 99 bytes, the least that 50 words take, has one at least. Chunks are counted by 128-bit digest;
+those of two documents or more are joined back, and chunks that follow each other form a span."""
 
 from __future__ import annotations
 
@@ -15,39 +17,56 @@ from pyspark.sql import functions as F
 from crawlweave.llm import kernels as K
 
 U = np.uint64
-GEAR_WINDOW = 16
-#: Mean bytes of a chunk, and bytes of a run of repeated chunks that counts as a passage.
-MEAN_CHUNK, LEAST_RUN = 32, 96
+GEAR_WINDOW = 8
+#: Places of which one ends a chunk, bytes of a run of repeated chunks that counts as a passage, and the words with which a shorter one does.
+WINDOW, LEAST_RUN, LEAST_WORDS = 46, 96, 50
+#: Bytes of a passage that may lie before its first whole chunk.
+REACH = WINDOW + GEAR_WINDOW - 1
 _rng = np.random.Generator(np.random.PCG64(0x6EA2))
 GEAR = _rng.integers(0, 2**16, 256, dtype=np.uint16)
 SECOND = _rng.integers(0, 2**64, 256, dtype=U)
 
 
 def gear_hashes(raw: np.ndarray) -> np.ndarray:
-    """After each byte, the sum of GEAR[byte] << age over the last 16 bytes, modulo 2**16, by doubling the window."""
+    """After each byte, the sum of GEAR[byte] << age over the last 8 bytes, modulo 2**16, by doubling the window."""
     h = GEAR[raw]
-    for w in (1, 2, 4, 8):
+    for w in (1, 2, 4):
         older = np.zeros_like(h)
         older[w:] = h[:-w]
         h = h + (older << np.uint16(w))
     return h
 
 
-def cuts(raw: np.ndarray, at: np.ndarray, mean: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begin of every chunk and the text it belongs to. Chunks end where the hash is small, never inside a character, and at the end of a text."""
+def cuts(raw: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Begin of every chunk and the text it belongs to. Chunks end at the last least hash of each window of a text, never inside a character, and at the end of a text."""
     n = len(raw)
-    ends = gear_hashes(raw) < np.uint16(65536 // mean)
-    ends[:-1] &= (raw[1:] & 0xC0) != 0x80
     place = np.arange(n)
-    doc = np.searchsorted(at, place[ends], side="right") - 1
-    cut = place[ends]
-    cut = cut[cut - at[doc] >= GEAR_WINDOW - 1] + 1  # the hash there has seen 16 bytes of this text only
+    fit = place - np.repeat(at[:-1], np.diff(at)) >= GEAR_WINDOW - 1  # the hash there has seen 8 bytes of this text only
+    fit[:-1] &= (raw[1:] & 0xC0) != 0x80
+    none = np.int64(1) << 60
+    low = np.where(fit, gear_hashes(raw).astype(np.int64) << 32, none) | (0xFFFFFFFF - place)
+    width = 1
+    while width < window:
+        step = min(width, window - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    first = place[: len(low)]
+    low = low[(low < none) & (first + window <= at[np.searchsorted(at, first, side="right")])]
+    cut = 0xFFFFFFFF - (low & 0xFFFFFFFF) + 1
     begin = np.unique(np.concatenate((cut, at[:-1])))
     begin = begin[begin < n]
     return begin, np.searchsorted(at, begin, side="right") - 1
 
 
-def _chunks(mean: int):
+def _word_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    inside = K.NOT_SPACE[raw]
+    after = np.zeros(len(raw), bool)
+    after[1:] = inside[:-1]
+    after[at[:-1][at[:-1] < len(raw)]] = False
+    return inside & ~after
+
+
+def _chunks(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -56,7 +75,7 @@ def _chunks(mean: int):
                 raw, at = raw_all[at_all[i] : at_all[j]], at_all[i : j + 1] - at_all[i]
                 if not len(raw):
                     continue
-                begin, doc = cuts(raw, at, mean)
+                begin, doc = cuts(raw, at, window)
                 size = np.diff(np.concatenate((begin, [len(raw)])))
                 place = np.arange(len(raw)) - np.repeat(begin, size)
                 factor = K.PLACE[place & 1023] + (place >> 10).astype(U) * U(0x9E3779B97F4A7C16)
@@ -64,11 +83,16 @@ def _chunks(mean: int):
                 two = K.mixed(np.add.reduceat(SECOND[raw] * factor, begin) ^ size.astype(U))
                 letters = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
                 start = letters[begin] - letters[at[doc]]
+                word = np.concatenate(([0], np.cumsum(_word_starts(raw, at))))
+                end = begin + size
+                before = word[begin] - word[np.maximum(begin - REACH, at[doc])]
+                after = word[np.minimum(end + window, at[doc + 1])] - word[end]
+                place = start
+                for value, bits in ((letters[end] - letters[begin], 7), (size, 7), (word[end] - word[begin], 6), (before, 6), (after, 6)):
+                    place = place << bits | value
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": ids.take(pa.array(doc + i)),
-                    "start": pa.array(start.astype(np.int32)),
-                    "size": pa.array((letters[begin + size] - letters[begin]).astype(np.int32)),
-                    "bytes": pa.array(size.astype(np.int32)),
+                    "place": pa.array(place.astype(np.int64)),
                     "d1": pa.array(one.view(np.int64)),
                     "d2": pa.array(two.view(np.int64)),
                 })
@@ -76,23 +100,30 @@ def _chunks(mean: int):
     return run
 
 
-def chunks(docs: DataFrame, mean: int = MEAN_CHUNK) -> DataFrame:
-    """Chunks of docs(doc_id, text): doc_id, start and size in code points, bytes, digest (d1, d2). Null and empty texts have none."""
+def chunks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Chunks of docs(doc_id, text): doc_id, place (see placed), digest (d1, d2). Null and empty texts have none."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_chunks(mean), "doc_id long, start int, size int, bytes int, d1 long, d2 long")
+    return rows.mapInArrow(_chunks(window), "doc_id long, place long, d1 long, d2 long")
+
+
+def placed(held: DataFrame) -> DataFrame:
+    """What place holds in 63 bits, so that less is shuffled: start and size in code points, bytes, words that begin in the chunk, in the REACH bytes before it and in the WINDOW after it."""
+    part = lambda right, bits: F.shiftright("place", right).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return held.withColumns({"start": F.shiftright("place", 32).cast("int"), "size": part(25, 7), "bytes": part(18, 7), "words": part(12, 6), "before": part(6, 6), "after": part(0, 6)}).drop("place")
 
 
-def repeated_spans(docs: DataFrame, mean: int = MEAN_CHUNK, least_run: int = LEAST_RUN) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_run: int = LEAST_RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """Spans that other documents have too: doc_id, start, end (code points, end exclusive), n_chunks, bytes, first_doc_id, is_first.
 
-    Only chunks of two different doc_ids count, and only runs of least_run bytes or more. A run is given in spans that end where this
+    Only chunks of two different doc_ids count, and only runs of least_run bytes or more, or that may belong to a passage of
+    least_words words with what stands around them. Every passage of 50 words that two documents share has such a run. A run is given in spans that end where this
     document begins or ceases to be the least that has the chunks; these may be shorter. first_doc_id is the least document that
     has the span's first chunk, is_first says that the span stays here: this document is the least for all of its chunks, or for
-    none of them but they have less than least_run bytes. Where it is false, others have all of it, and it may be removed. Rows without doc_id or text and documents without such spans give no rows; rows that repeat a doc_id count as one
+    none of them but they are short by both measures. Where it is false, others have all of it, and it may be removed. Rows without doc_id or text and documents without such spans give no rows; rows that repeat a doc_id count as one
     document. Other columns are not read."""
-    every = chunks(docs, mean)
+    every = chunks(docs)
     count = every.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("d1", "d2", "first")
-    held = every.join(count, ["d1", "d2"]).select("doc_id", "start", "size", "bytes", "first")
+    held = placed(every.join(count, ["d1", "d2"]).select("doc_id", "place", "first"))
     w = Window.partitionBy("doc_id").orderBy("start", "size")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     fresh = F.coalesce(F.lag(F.col("start") + F.col("size")).over(w) < F.col("start"), F.lit(True))
@@ -103,16 +134,23 @@ def repeated_spans(docs: DataFrame, mean: int = MEAN_CHUNK, least_run: int = LEA
         F.max(F.col("start") + F.col("size")).cast("long").alias("end"),
         F.count("*").alias("n_chunks"),
         F.sum("bytes").alias("bytes"),
+        F.sum("words").alias("words"),
+        F.min_by("before", "start").alias("before"),
+        F.max_by("after", "start").alias("after"),
         F.min_by("first", "start").alias("first_doc_id"),
-        (F.bool_and("own") | (F.sum("bytes") < least_run)).alias("is_first"),
+        F.bool_and("own").alias("own"),
     )
-    whole = parts.withColumn("whole", F.sum("bytes").over(Window.partitionBy("doc_id", "run")))
-    return whole.where(F.col("whole") >= least_run).select("doc_id", "start", "end", "n_chunks", "bytes", "first_doc_id", "is_first")
+    short = (F.col("bytes") < least_run) & (F.col("words") + F.col("before") + F.col("after") < least_words)
+    parts = parts.withColumn("is_first", F.col("own") | short)
+    r = Window.partitionBy("doc_id", "run")
+    whole = parts.withColumns({"whole": F.sum("bytes").over(r), "reached": F.sum("words").over(r) + F.min_by("before", "start").over(r) + F.max_by("after", "start").over(r)})
+    kept = (F.col("whole") >= least_run) | (F.col("reached") >= least_words)
+    return whole.where(kept).select("doc_id", "start", "end", "n_chunks", "bytes", "first_doc_id", "is_first")
 
 
-def deduplicated(docs: DataFrame, mean: int = MEAN_CHUNK, least_run: int = LEAST_RUN) -> DataFrame:
+def deduplicated(docs: DataFrame, least_run: int = LEAST_RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with text freed of every span that a document of a smaller id has too; all other columns stay."""
-    spans = repeated_spans(docs, mean, least_run).where(~F.col("is_first"))
+    spans = repeated_spans(docs, least_run, least_words).where(~F.col("is_first"))
     cut = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     kept = docs.join(cut, "doc_id", "left")
     none = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))

@@ -77,6 +77,18 @@ def test_copies_with_a_shared_opening_keep_the_rest(spark):
     assert left[15] == other
 
 
+def test_fifty_short_words_are_a_passage(spark):
+    """Passages of few distinct words, down to 99 bytes, each in two documents of other words around it."""
+    rows = []
+    for i in range(40):
+        r = random.Random(i)
+        few = [r.choice("abcdefghijk") * r.randint(1, 1 + i % 3) for _ in range(1 + i % 4)]
+        shared = " ".join(r.choice(few) for _ in range(50))
+        rows += [(2 * i + j, f"{prose(1000 + 2 * i + j, 30)} {shared} {prose(2000 + 2 * i + j, 30)}") for j in range(2)]
+    docs = spark.createDataFrame([(a, b, "s", 1) for a, b in rows], DOCS)
+    assert {r.doc_id for r in chunks.repeated_spans(docs).collect()} == {a for a, _ in rows}
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(700)]
