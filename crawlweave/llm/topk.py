@@ -57,16 +57,14 @@ class Tree:
                     heapq.heappush(heap, (-bound[self.place[child]], child))
                 continue
             scores = self.vectors[a:b] @ query
-            good = np.flatnonzero(scores >= best[0][0]) if len(best) == k else np.arange(b - a)
+            other = self.ids[a:b] != own
+            good = np.flatnonzero(other & (scores >= best[0][0]) if len(best) == k else other)
             if len(good) > k:
                 floor = np.partition(scores[good], len(good) - k)[len(good) - k]
                 good = good[scores[good] >= floor]
-                good = good[np.lexsort((self.ids[a:b][good], -scores[good]))][: k + 1]  # the query's own row may be among them
+                good = good[np.lexsort((self.ids[a:b][good], -scores[good]))][:k]
             for i in good.tolist():
-                vec = int(self.ids[a + i])
-                if vec == own:
-                    continue
-                item = (int(scores[i]), -vec)
+                item = (int(scores[i]), -int(self.ids[a + i]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:

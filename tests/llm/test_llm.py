@@ -101,6 +101,15 @@ def test_top_k(spark):
         assert [got[q, k + 1] for k in range(10)] == [(i, -s) for s, i in want]
 
 
+def test_search_passes_by_all_rows_of_the_own_id():
+    """A leaf with more rows of the query's id than k gives the others all the same."""
+    ids = np.array([7] * 20 + [1, 2, 3, 4])
+    vectors = np.array([[9]] * 20 + [[4], [3], [2], [1]])
+    tree, best = topk.Tree(ids, vectors), []
+    tree.search(np.array([1.0]), 7, tree.bounds(np.array([[1.0]]))[0], best, 3)
+    assert sorted(best, reverse=True) == [(4, -1), (3, -2), (2, -3)]
+
+
 def brute_components(rows, k, num, den):
     sets = {}
     for i, t in rows:
