@@ -24,17 +24,21 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 MARKS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer login masthead menu modal nav navbar navigation newsletter notice notices notification pagination paywall popup promo promoted promotion related remarks replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 #: Marks that count outside of an article only: an article's own head belongs to it.
 OUTER_MARKS = frozenset(("header",))
+#: Marks that may name a part of an article's own text.
+SECTIONS = frozenset("copyright disclaimer discussion notice notices related remarks".split())
 #: An open element of the key ends where one of the values begins.
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+_ARTICLE = re.compile(r"<(article|main)\b", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Lines(HTMLParser):
-    """Lines as (text, tags, region). An element is (tag, dropped, region)."""
+    """Lines as (text, tags, region). An element is (tag, dropped, region); dropped is 1 by a mark, 2 by more. Marks drop elements if heed is 2, and but for an article or main inside of them if it is 1."""
 
-    def __init__(self):
+    def __init__(self, heed: int = 2):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]
+        self.heed, self.marked = heed, False
+        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]
         self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.tags, self.regions, self.articles = 1, 0, 0
@@ -56,12 +60,18 @@ class Lines(HTMLParser):
                 return True
             if key == "role" and value and value.strip().lower() in ROLES:
                 return True
-            if key in ("class", "id") and value:
-                own = {w.lower() for w in _WORD.findall(value)}
-                if own & MARKS or not self.articles and own & OUTER_MARKS:
-                    return True
         return False
 
+    def by_mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in ("body", "html", "article", "main"):
+            return False
+        own = {w.lower() for k, v in attrs if k in ("class", "id") and v for w in _WORD.findall(v)}
+        if tag == "section" and self.articles:
+            own -= SECTIONS
+        found = bool(own & MARKS) or not self.articles and bool(own & OUTER_MARKS)
+        self.marked |= found
+        return found and self.heed > 0
+
     def pop(self, depth: int) -> None:
         while len(self.stack) > depth:
             self.articles -= self.stack.pop()[0] in ("article", "main")
@@ -90,7 +100,8 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         top = self.stack[-1]
-        drop = top[1] or self.dropped(tag, attrs)
+        around = 0 if top[1] == 1 and self.heed == 1 and tag in ("article", "main") else top[1]
+        drop = max(around, 2 if self.dropped(tag, attrs) else int(self.by_mark(tag, attrs)))
         region = top[2]
         if tag in ("article", "main") or tag in BLOCK and tag not in ("p", "li", "dd", "dt", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6") and not self.articles:
             self.regions += 1
@@ -125,18 +136,32 @@ def content(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return smooth >= min(smooth.std(), smooth.max())
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    parser = Lines()
+def _content_lines(html: str, heed: int) -> tuple[list[str], bool]:
+    parser = Lines(heed)
     parser.feed(html)
     parser.close()
     parser.flush()
     if not parser.lines:
-        return ""
+        return [], parser.marked
     good = content(np.array([len(t) / n for t, n, _ in parser.lines]))
     kept = {region for (_, _, region), g in zip(parser.lines, good, strict=True) if g}
-    return "\n".join(t for t, _, region in parser.lines if region in kept)
+    return [t for t, _, region in parser.lines if region in kept], parser.marked
+
+
+def main_text(html: str | None) -> str:
+    """The content lines. Marks around an article or main are not heeded if they hide more than is left, and none is if nothing is left, or if the page has no article or main and they hide more."""
+    if not html:
+        return ""
+    lines, marked = _content_lines(html, 2)
+    if marked:
+        inner, _ = _content_lines(html, 1)
+        if 2 * sum(map(len, lines)) < sum(map(len, inner)):
+            lines = inner
+        if not lines or not _ARTICLE.search(html):
+            every, _ = _content_lines(html, 0)
+            if 2 * sum(map(len, lines)) < sum(map(len, every)):
+                lines = every
+    return "\n".join(lines)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -252,6 +252,17 @@ def test_main_text():
     assert mainhtml.main_text(None) == mainhtml.main_text("") == mainhtml.main_text("<div></div>") == ""
 
 
+def test_main_text_in_marked_wrappers():
+    text = "A long sentence of the article that says enough. " * 5
+    for name in ("content with-sidebar", "no-sidebar", "has-banner", "page-with-nav"):
+        page = f'<body><div class="{name}"><article><p>{text}</p><section id="comments"><p>first!</p></section></article></div></body>'
+        assert mainhtml.main_text(page) == text.strip()
+        assert mainhtml.main_text(f'<body><div class="{name}"><p>{text}</p></div></body>') == text.strip()
+    for name in ("related-work", "discussion", "notice"):
+        page = f'<body><article><p>{text}</p><p>{text}</p><section id="{name}"><p>Kept.</p></section></article></body>'
+        assert mainhtml.main_text(page).endswith("Kept.")
+
+
 def test_decontamination(spark):
     items = [(1, prose(1, 30)), (2, "Short item here"), (3, None), (4, "!!"), (5, prose(1, 30)), (6, "é")]
     texts = [prose(2, 300) + " " + prose(1, 30) + " x", "so a SHORT, item--here.", prose(1, 9), prose(3, 50) + " " + " ".join(prose(1, 30).split()[5:17]), None, "", "É é", prose(4, 600)]
