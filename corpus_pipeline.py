@@ -58,7 +58,7 @@ STAGES = [
     ("packing", pack_tokens),
 ]
 
-#: SQL can't express the classifier, the tokenizer or the packing; tests compare the stages with brute force.
+#: SQL can't express the classifier, the tokenizer or the packing. Tests cover the operators beneath, some on few cases; none runs the stages or run().
 ORACLE_SQL = None
 
 
