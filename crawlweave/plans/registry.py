@@ -80,7 +80,7 @@ def site_graph_report(spark, sf_dir):
     p = pages(spark, sf_dir).select("page_id", "key", urls.registrable(urls.host(F.col("key"))).alias("domain"))
     e = edges(spark, sf_dir).select("page_id", F.col("normalized_discovered_url").alias("target")).join(p, "page_id")
     x = e.groupBy("domain").agg(F.count("*").alias("occurrences"), F.countDistinct("key", "target").alias("edges"), F.countDistinct("target").alias("targets"))
-    return p.groupBy("domain").agg(F.count("*").alias("pages")).join(x, "domain")
+    return p.groupBy("domain").agg(F.count("*").alias("pages")).join(x, "domain", "left").fillna(0, ["occurrences", "edges", "targets"])
 
 
 @query(f"WITH {P} SELECT page_id, key AS normalized_url, sha256(key) AS url_hash, regexp_extract(key, '^https://([^/?#]*)', 1) AS host FROM p")

@@ -70,3 +70,9 @@ def test_format_bytes_of_every_page(spark, tmp_path):
     sizes = {256: "256 B", 768: "768 B", 1023: "1023 B", 1024: "1.0 KB", 1280: "1.3 KB", 1792: "1.8 KB", 2304: "2.3 KB", 2816: "2.8 KB", 3000: "2.9 KB", 1310720: "1.3 MB"}
     spark.createDataFrame([(n, "x" * n) for n in sizes], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r.page_id: r.text for r in registry.format_bytes(spark, str(tmp_path)).collect()} == sizes
+
+
+def test_site_graph_report_has_domains_without_links(spark, tmp_path):
+    rows = [(1, "https://a.example.com/", '<a href="/x">x</a>'), (2, "https://example.org/", "<p>none</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {tuple(r) for r in registry.site_graph_report(spark, str(tmp_path)).collect()} == {("example.com", 1, 1, 1, 1), ("example.org", 1, 0, 0, 0)}
