@@ -13,8 +13,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side of a join that may be broadcast, once they have been counted. 2 million ids are about 32 MB.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a side of a join that may be broadcast, once they have been counted.
+BROADCAST_BYTES = 8 << 20
+#: Lets Spark delete a query's shuffle files as soon as its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folder: str | None = None
 
 
@@ -37,11 +39,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: the table is written to the shared folder and read again, so it survives lost executors."""
+    """Cuts lineage: the table is written to the shared folder and read again, so it survives lost executors. `dropped` deletes it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := df.__dict__.pop("written_at", None):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -50,9 +66,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df, which should be a written table, is counted to have few enough rows; else df, which is shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and about the bytes of a written table: fixed widths as they are, others by their lengths."""
+    fixed, sums = 0, []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            sums.append(F.sum(F.octet_length(f.name)))
+        elif kind.startswith("array"):
+            sums.append(F.sum(F.size(f.name)) * (24 if "struct" in kind else 8))
+        fixed += 8
+    row = df.agg(F.count("*"), *sums).first()
+    return row[0], row[0] * fixed + sum(max(0, x or 0) for x in row[1:])
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if df, which should be a written table, is measured to have few enough bytes; else df, which is shuffled."""
+    return F.broadcast(df) if measured(df)[1] <= most else df
 
 
 def ship(spark: SparkSession) -> None:
