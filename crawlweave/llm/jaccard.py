@@ -3,9 +3,10 @@
 The global n-gram order (rare first, by a sketch of document frequencies over all texts, then by hash) is cut into fragments.
 Texts meet on the n-grams that the order's prefix bound allows; long texts, whose prefixes hold many n-grams of chance, meet on whole
 slots of the hash order instead, more slots than similar texts may differ in n-grams. Each fragment of a pair counts its partial overlap
-by itself and the counts are summed per pair. A bucket of texts that share an n-gram is not expanded into pairs: first every member is compared
-with the bucket's least member, then one pair of each two components, then all pairs that are still in different components, after size and parity
-bounds that lose no link."""
+by itself and the counts are summed per pair. A bucket of texts that share an n-gram is not expanded into pairs. First every member is
+compared with the bucket's least member. In large buckets each component then tests one pair a round, the one whose parities differ least,
+so families whose members link grow together in work that is linear in the rows. Only what is still in different components afterwards is paired,
+after size and parity bounds that lose no link: in buckets of bounded size directly, in large ones by blocks of nodes."""
 
 from __future__ import annotations
 
@@ -17,13 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlweave.llm import kernels as K
-from crawlweave.runtime import small, written
+from crawlweave.runtime import dropped, measured, small, written
 
 U = np.uint64
 SLOTS_LOG2, PARTS = 18, 64
-#: Bits of a text's parity sketch, and of the wide one of texts of more n-grams, and how many wide ones (1 KB each) may be broadcast.
+#: Bits of a text's parity sketch, and of the wide one of texts of more n-grams.
 SKETCH_BITS = 512
-WIDE_BITS, WIDE_FROM, WIDE_ROWS = 8192, 800, 60_000
+WIDE_BITS, WIDE_FROM = 8192, 250
+#: Rows of a large bucket, of the parts that it is dealt into in a round, and of a bucket's block in the last pass; rounds at most.
+LARGE_BUCKET, PART_ROWS, BLOCK_ROWS, ROUNDS = 32, 256, 4096, 5
+#: Rounds end when one has linked fewer pairs than the rows of large buckets by this; the last pass does the rest.
+ROUND_GAIN = 200
+#: Edges that one task may unite (16 bytes each).
+ONE_TASK = 200_000
 FRAGMENTS_LOG2 = 2
 
 
@@ -78,7 +85,7 @@ def slot_tokens(grams: np.ndarray, usual: np.ndarray, s: int, apart: int) -> np.
     A differing n-gram changes one slot, so similar sets share a slot's content, one with n-grams if either set fills more than `apart`
     slots. Frequent n-grams are left out; a set that then fills too few slots also gives its slots with them, and if those are too few
     too, the empty ones as well. Two such sets give both kinds, so they still meet."""
-    slots = apart + apart // 5 + 8
+    slots = apart + apart // 8 + 8
 
     def digests(own: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         salt = K.mixed(np.arange(slots, dtype=U) + U((2 * s + kind) << 40))
@@ -182,22 +189,22 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Written pairs (a, b) of nodes whose sets are similar enough: each fragment's overlap is counted by itself, then summed.
 
-    A set is shuffled once as a pair's `a`, whatever the number of its pairs, and once for each pair as `b`."""
-    ids = classes.select("node", F.col("rep").alias("doc_id"))
-
-    def cut(nodes: DataFrame, name: str) -> DataFrame:
-        own = small(written(nodes.distinct().join(ids, "node").select("doc_id").distinct(), "join-ids"))
-        rows = docs.join(own, "doc_id", "left_semi").select("text").mapInArrow(_segments(k), "node long, frag int, grams binary")
-        return rows.select(F.col("node").alias(name), "frag", F.col("grams").alias("x" if name == "a" else "y"))
-
-    hubs = cut(pairs.select(F.col("a").alias("node")), "a").join(small(written(pairs.select("a").distinct(), "join-hubs")), "a", "left_semi")
-    others = cut(pairs.select(F.col("b").alias("node")), "b").join(small(pairs.select("a", "b")), "b")
+    The texts behind the pairs are read and cut once; a set is shuffled once as a pair's `a`, whatever the number of its pairs, and
+    once for each pair as `b`."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    reps = written(nodes.join(classes.select("node", F.col("rep").alias("doc_id")), "node").select("doc_id").distinct(), "join-ids")
+    rows = docs.join(small(reps), "doc_id", "left_semi").select("text").mapInArrow(_segments(k), "node long, frag int, grams binary")
+    sets = written(rows, "join-sets")
+    hubs = sets.select(F.col("node").alias("a"), "frag", F.col("grams").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    others = sets.select(F.col("node").alias("b"), "frag", F.col("grams").alias("y")).join(small(pairs), "b")
     met = others.join(hubs, ["a", "frag"]).select("a", "b", "frag", "x", "y")
     part = met.mapInArrow(_overlaps, "a long, b long, frag int, overlap long").groupBy("a", "b", "frag").agg(F.max("overlap").alias("overlap"))  # rows may repeat
     total = part.groupBy("a", "b").agg(F.sum("overlap").alias("both"))
     size = classes.select("node", "n")
     total = total.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    return total.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b")
+    found = written(total.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b"), "join-links")
+    dropped(reps, sets)
+    return found
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -209,73 +216,173 @@ def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
 
 
 def _narrowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Written pairs (a, b) without those of long texts that wide sketches rule out."""
-    wide = classes.where("wide is not null").select("node", "n", "wide")
+    """Written pairs (a, b) without those of texts that wide sketches rule out."""
     both = written(pairs, "join-candidates")
-    wide = wide.join(both.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    wide = small(written(wide, "join-wide"), WIDE_ROWS)
-    side = lambda x: wide.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
-    both = both.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    held = both.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wide = written(classes.where("wide is not null").select("node", "n", "wide").join(held, "node", "left_semi"), "join-wide")
+    one = small(wide)
+    side = lambda x: one.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    near = both.join(side("a"), "a", "left").join(side("b"), "b", "left")
     apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     far = (apart * (num + den) > (F.col("na") + F.col("nb")) * (den - num)) & F.col("wa").isNotNull() & F.col("wb").isNotNull()
-    return written(both.where(~F.coalesce(far, F.lit(False))).select("a", "b"), "join-pairs")
-
-
-def _mixed_pairs(num: int, den: int, every: bool):
-    """Pairs of different components in a bucket, from rows sorted by bucket and size; all buckets advance together by the distance in them.
-
-    Either every pair that sizes and parities allow, or one for each two components."""
-
-    def one(columns: list[np.ndarray]) -> list[np.ndarray]:
-        order = np.lexsort((columns[1], columns[0], columns[3], columns[2]))
-        columns = [c[order] for c in columns]
-        first = np.ones(len(order), bool)
-        first[1:] = (columns[2][1:] != columns[2][:-1]) | (columns[3][1:] != columns[3][:-1]) | every & ((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
-        return [c[first] for c in columns]
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        sig, node, comp, n = (t.column(c).to_numpy() for c in ("sig", "node", "comp", "n"))
-        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(U).reshape(-1, SKETCH_BITS // 64)
-        found = [[] for _ in range(4)]
-        active, step = np.arange(len(sig)), 0
-        while len(active):
-            step += 1
-            active = active[active + step < len(sig)]
-            other = active + step
-            near = (sig[active] == sig[other]) & (n[active] * den >= n[other] * num)
-            active, other = active[near], other[near]
-            ask = comp[active] != comp[other]
-            x, y = active[ask], other[ask]
-            apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
-            ok = apart * (num + den) <= (n[x] + n[y]) * (den - num)
-            x, y = x[ok], y[ok]
-            if len(x):
-                x, y = np.where(comp[x] < comp[y], x, y), np.where(comp[x] < comp[y], y, x)
-                for have, new in zip(found, one([node[x], node[y], comp[x], comp[y]]), strict=True):
-                    have.append(new)
-        columns = one([np.concatenate(c or [node[:0]]) for c in found])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "ca", "cb"])
+    out = written(near.where(~F.coalesce(far, F.lit(False))).select("a", "b"), "join-pairs")
+    dropped(both, wide)
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Columns of whole groups, from rows sorted by the keys, and where each group begins, with the end. A group is held whole."""
+    kept = None
+
+    def opened(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        columns = {}
+        for name in t.column_names:
+            c = t.column(name).combine_chunks()
+            columns[name] = c.flatten().to_numpy().view(U).reshape(t.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy()
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.logical_or.reduce([columns[k][1:] != columns[k][:-1] for k in keys])
+        return columns, np.append(np.flatnonzero(new), t.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        kept = t if kept is None else pa.concat_tables([kept, t]).combine_chunks()
+        last = np.logical_and.reduce([np.asarray(kept.column(k)) == kept.column(k)[-1].as_py() for k in keys])
+        first = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if first:
+            yield opened(kept.slice(0, first))
+            kept = kept.slice(first)
+    if kept is not None and kept.num_rows:
+        yield opened(kept)
+
+
+class _Pairs:
+    """Distinct pairs, given away in batches whenever many have come together."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.held, self.size, self.most = [], 0, most
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(x):
+            self.held.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
+            self.size += len(x)
+        if self.size >= self.most:
+            self.held = [np.unique(np.concatenate(self.held), axis=0)]
+            self.size = len(self.held[0])
+            if 2 * self.size >= self.most:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            out = np.unique(np.concatenate(self.held), axis=0)
+            self.held, self.size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+
+def _small_pairs(num: int, den: int):
+    """Pairs of different components in buckets of bounded size that sizes and parities allow. Rows are sorted by bucket and size; all buckets advance together by the distance in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            kept = t if kept is None else pa.concat_tables([kept, t])
-            sig = kept.column("sig").to_numpy()
-            last = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0  # sorted as signed, as Spark does
-            if last:
-                yield pairs(kept.slice(0, last))
-                kept = kept.slice(last).combine_chunks()
-        if kept is not None and kept.num_rows:
-            yield pairs(kept)
+        out = _Pairs()
+        for c, _ in _groups(batches, ["sig"]):
+            sig, node, comp, n, sketch = (c[k] for k in ("sig", "node", "comp", "n", "sketch"))
+            active, step = np.arange(len(sig)), 0
+            while len(active):
+                step += 1
+                active = active[active + step < len(sig)]
+                near = (sig[active] == sig[active + step]) & (n[active] * den >= n[active + step] * num)
+                active = active[near]
+                x, y = active, active + step
+                ask = comp[x] != comp[y]
+                x, y = x[ask], y[ask]
+                apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+                ok = apart * (num + den) <= (n[x] + n[y]) * (den - num)
+                yield from out.add(node[x[ok]], node[y[ok]])
+        yield from out.rest()
+
+    return run
+
+
+def _nearest(num: int, den: int, each: int = 3):
+    """For every component in a bounded part of a large bucket, its pairs of fewest differing parities with other components: comp, apart, a, b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, bounds in _groups(batches, ["sig", "part"]):
+            rows = []
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                comp, n, sketch, node = (c[k][i:j] for k in ("comp", "n", "sketch", "node"))
+                if (comp == comp[0]).all():
+                    continue
+                apart = np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int32)
+                no = (comp[:, None] == comp[None, :]) | (np.minimum.outer(n, n) * den < np.maximum.outer(n, n) * num) | (apart * (num + den) > np.add.outer(n, n) * (den - num))
+                apart[no] = SKETCH_BITS + 1
+                best = np.argsort(apart, axis=1, kind="stable")[:, :each]
+                x, y = np.repeat(np.arange(j - i), best.shape[1]), best.ravel()
+                d = apart[x, y]
+                ok = d <= SKETCH_BITS
+                x, y, d = x[ok], y[ok], d[ok]
+                order = np.lexsort((d, comp[x]))
+                x, y, d = x[order], y[order], d[order]
+                begin = np.searchsorted(comp[x], comp[x])
+                some = np.arange(len(x)) - begin < each
+                x, y, d = x[some], y[some], d[some]
+                rows.append((comp[x], d.astype(np.int64), np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r), pa.int64()) for r in zip(*rows, strict=True)], names=["comp", "apart", "a", "b"])
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): each node's least connected node, by rounds of large and small stars; each round is written.
+def _block_pairs(num: int, den: int):
+    """Pairs of different components in large buckets that sizes and parities allow. A task has all rows of two blocks of nodes, so it gives a pair once, however many buckets hold it; rows of a bucket's largest component are never compared with each other."""
 
-    Groups are only ever reduced to a minimum and joined back, so a node with very many edges is never collected."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Pairs()
+        for c, bounds in _groups(batches, ["i", "j", "sig"]):
+            for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                comp, n, sketch, node, block = (c[k][p:q] for k in ("comp", "n", "sketch", "node", "block"))
+                two = c["i"][p] != c["j"][p]
+                names, count = np.unique(comp, return_counts=True)
+                few = np.flatnonzero(comp != names[np.argmax(count)])
+                for r in few.tolist():
+                    good = (comp != comp[r]) & (np.minimum(n, n[r]) * den >= np.maximum(n, n[r]) * num)
+                    if two:
+                        good &= block != block[r]
+                    y = np.flatnonzero(good)
+                    apart = np.bitwise_count(sketch[y] ^ sketch[r]).sum(axis=1, dtype=np.int64)
+                    y = y[apart * (num + den) <= (n[y] + n[r]) * (den - num)]
+                    yield from out.add(np.full(len(y), node[r]), node[y])
+        yield from out.rest()
+
+    return run
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least node of each component, by labels that jump to their labels' labels."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    t = pa.Table.from_batches(tables)
+    nodes, ends = np.unique(np.concatenate((t.column(0).to_numpy(), t.column(1).to_numpy())), return_inverse=True)
+    u, v = np.split(ends, 2)
+    label = np.arange(len(nodes))
+    while True:
+        was = label.copy()
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        label = label[label]
+        if (label == was).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """Written (node, label) of every node in edges(a, b); a label is the least node of its component.
+
+    Few edges, counted first, are united by one task; more go through large and small stars, of which each round is written. Groups
+    are only ever reduced to a minimum and joined back, so a node with very many edges is never collected."""
 
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
@@ -285,58 +392,128 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "join-edges")
     mark = state(now)
+    if mark[0] <= one_task:
+        out = written(now.coalesce(1).mapInArrow(_united, "node long, label long"), "join-labels")
+        dropped(now)
+        return out
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         mins = least(both).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         mins = least(large)
         star = large.join(mins, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(mins.select("u", F.col("m").alias("v")))
-        now = written(star.where("u != v").distinct(), "join-edges")
+        old, now = now, written(star.where("u != v").distinct(), "join-edges")
+        dropped(old)
         was, mark = mark, state(now)
         if was == mark:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = written(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "join-labels")
+    dropped(now)
+    return out
 
 
-def jaccard_components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+class _Join:
+    """What the rounds share: links found so far, labels by them, pairs that have been compared."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int):
+        self.docs, self.classes, self.words, self.num, self.den = docs, classes, words, num, den
+        self.labels: DataFrame | None = None
+        self.tested: DataFrame | None = None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+
+    def test(self, pairs: DataFrame) -> int:
+        """Compares pairs(a, b) of nodes in different components and unites what is linked; how many pairs were linked."""
+        pairs = _narrowed(pairs, self.classes, self.num, self.den)
+        links = _verified(pairs, self.docs, self.classes, self.words, self.num, self.den) if pairs.head(1) else pairs.limit(0)
+        if self.tested is None:
+            self.tested, found = pairs, links.count()
+            self.labels = components(links)
+        else:
+            tested = written(self.tested.unionByName(pairs), "join-tested")
+            dropped(self.tested, pairs)
+            self.tested, found = tested, links.count()
+            if found:
+                ends = self.labelled(self.labelled(links.withColumnRenamed("a", "node")).select(F.col("comp").alias("a"), F.col("b").alias("node"))).select("a", F.col("comp").alias("b"))
+                more = components(ends)  # of components by their labels
+                named = self.labels.join(more.toDF("label", "newer"), "label", "left").select("node", F.coalesce("newer", "label").alias("label"))
+                fresh = more.join(self.labels.select("node"), "node", "left_anti")
+                labels = written(named.unionByName(fresh), "join-labels")
+                dropped(self.labels, more)
+                self.labels = labels
+        dropped(links)
+        return found
+
+
+def _rounds(join: _Join, large: DataFrame, most: int) -> DataFrame:
+    """Lets components in large buckets find each other: in every round each tests one pair, that of the fewest differing parities which it
+    meets in parts of the buckets that are dealt anew. Work and output grow with the rows. Returns the written rows of buckets that are still mixed."""
+    part = large
+    for turn in range(most + 1):
+        named = join.labelled(part.select("sig", "node", "n", "sketch"))
+        count = named.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("sig", "m")
+        now = written(named.join(count, "sig"), "join-large")
+        dropped(part)
+        part = now
+        if turn == most or not part.head(1):
+            break
+        parts = F.ceil(F.col("m") / PART_ROWS)
+        dealt = part.withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), parts).cast("long")).drop("m")
+        dealt = dealt.repartition("sig", "part").sortWithinPartitions("sig", "part").select("sig", "part", "node", "comp", "n", "sketch")
+        asked = dealt.mapInArrow(_nearest(join.num, join.den), "comp long, apart long, a long, b long")
+        asked = asked.groupBy("a", "b", "comp").agg(F.min("apart").alias("apart")).join(join.tested, ["a", "b"], "left_anti")
+        asked = asked.groupBy("comp").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        if ROUND_GAIN * join.test(asked) < measured(part)[0]:
+            break
+    return part
+
+
+def jaccard_components(docs: DataFrame, words: int, num: int, den: int, large_bucket: int = LARGE_BUCKET, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs(doc_id, text); texts link when den * both >= num * either.
 
     Empty and null texts have no n-grams, are linked with nothing and are their own component. A null doc_id is counted but takes
     no part in links; its component is null. Rows that repeat a doc_id stay rows; the id stands for all of them. Other columns are
-    not read. An empty table gives no rows."""
+    not read. An empty table gives no rows. large_bucket and rounds change the plan, never the result."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(_frequencies(docs, words))  # 256 KB, whatever the input
     profile = written(docs.mapInArrow(_profile(words, num, den, levels), "doc_id long, n long, node long, sketch array<long>, wide array<long>, tokens array<long>"), "join-profile")
+    levels.unpersist()
     part = profile.where("node is not null and doc_id is not null")
+    ids = written(profile.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "join-ids")
     classes = written(part.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "join-classes")
 
     each = part.select(F.explode("tokens").alias("sig"), "node")
-    shared = each.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("most")).where("center != most").select("sig", "center")
+    shared = written(each.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("most")).where("center != most").select("sig", "center"), "join-shared")
     members = written(each.join(shared, "sig").distinct(), "join-members")
+    dropped(profile, shared)
+
+    join = _Join(docs, classes, words, num, den)
     first = members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    first = _bounded(first, classes, num, den).groupBy("b").agg(F.min("a").alias("a"))  # one comparison each; the second round misses none
-    first = _narrowed(first.select("a", "b"), classes, num, den)
-    links = written(_verified(first, docs, classes, words, num, den), "join-links")
-    labels = components(links)
-
-    tested = first
-    for every in (False, True):  # one pair for each two components; then all that are left in different ones
-        named = written(members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("comp")), "join-named")
-        split = named.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("sig")
-        rest = named.join(split, "sig").join(classes.select("node", "n", "sketch"), "node")
-        rest = rest.repartition("sig").sortWithinPartitions("sig", "n").select("sig", "node", "comp", "n", "sketch")
-        more = rest.mapInArrow(_mixed_pairs(num, den, every), "a long, b long, ca long, cb long")
-        key = ["a", "b"] if every else ["ca", "cb"]
-        more = more.groupBy(*key).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").join(tested, ["a", "b"], "left_anti")
-        more = _narrowed(more, classes, num, den)
-        if more.head(1):
-            links = written(links.unionByName(_verified(more, docs, classes, words, num, den)), "join-links")
-            labels = components(links)
-        tested = tested.unionByName(more)
-
-    own = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    least = own.groupBy("label").agg(F.min("rep").alias("component_id"))
-    where = own.join(least, "label").select("node", "component_id")
-    found = profile.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(where, "node", "left")
+    join.test(_bounded(first, classes, num, den).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))  # one comparison each; what follows misses none
+
+    sizes = written(members.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > large_bucket).select("sig"), "join-sizes")
+    beyond = small(sizes)
+    large = written(members.select("sig", "node").join(beyond, "sig", "left_semi").join(classes.select("node", "n", "sketch"), "node"), "join-large")
+    large = _rounds(join, large, rounds)
+
+    named = join.labelled(members.select("sig", "node").join(beyond, "sig", "left_anti"))
+    split = named.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("sig")
+    mixed = named.join(split, "sig").join(classes.select("node", "n", "sketch"), "node")
+    mixed = mixed.repartition("sig").sortWithinPartitions("sig", "n").select("sig", "node", "comp", "n", "sketch")
+    rest = mixed.mapInArrow(_small_pairs(num, den), "a long, b long")
+    if top := large.agg(F.max("m")).first()[0] if "m" in large.columns else None:
+        blocks = max(4, -(-top // BLOCK_ROWS))
+        left = join.labelled(large.select("sig", "node", "n", "sketch")).withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).cast("long"))
+        left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        left = left.repartition("i", "j").sortWithinPartitions("i", "j", "sig").select("i", "j", "sig", "block", "node", "comp", "n", "sketch")
+        rest = rest.unionByName(left.mapInArrow(_block_pairs(num, den), "a long, b long"))
+    join.test(rest.distinct().join(join.tested, ["a", "b"], "left_anti"))
+    dropped(members, large, sizes, join.tested)
+
+    own = join.labelled(classes.select("node", "rep"))
+    least = own.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    where = own.join(least, "comp").select("node", "component_id")
+    found = ids.join(where, "node", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
