@@ -10,17 +10,26 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlweave.runtime import new_path
+from crawlweave.runtime import new_path, small, written
 
 SLOTS, SHARDS = 4096, 8
 MAP = "slot int, shard int, bytes long, count long"
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and 1), text_crc32, virtual_slot. Copies of a text lie in different slots unless they share the doc_id."""
+    """doc_id, size (UTF-8 bytes and 1), text_crc32, virtual_slot of each row of docs(doc_id, text).
+
+    The record's key decides its slot, so an edited text stays where it is. Only rows that share an id, or have none, are told apart by
+    their text and, where that is equal too, by a number, so one id with very many rows is spread over all slots."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    kinds = written(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "slot-rows")
+    often = written(kinds.groupBy("doc_id").agg(F.sum("n").alias("all")).where("all > 1").select(F.col("doc_id").alias("again")), "slot-repeats")
+    each = kinds.join(small(often), F.col("doc_id").eqNullSafe(F.col("again")), "left")
+    repeats = F.col("again").isNotNull() | F.col("doc_id").isNull()
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    own = F.when(repeats, F.xxhash64("doc_id", "text_crc32", "copy")).otherwise(F.xxhash64("doc_id"))
+    return each.select("doc_id", "size", "text_crc32", "copy", F.pmod(own, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def loads(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -88,18 +97,17 @@ def placed(rows: DataFrame, shard_of: dict[int, int], load: dict[int, tuple[int,
         base[slot] = at.get(shard, 0)
         at[shard] = base[slot] + load.get(slot, (0, 0))[1]
     table = rows.sparkSession.createDataFrame([(s, shard_of[s], base[s]) for s in sorted(shard_of)], "virtual_slot int, shard int, base long")
-    w = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    w = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "copy")
     ranked = rows.withColumn("place", F.row_number().over(w) - 1)
-    return ranked.join(F.broadcast(table), "virtual_slot").withColumn("slot", F.col("base") + F.col("place")).drop("base", "place")  # as many rows as slots
+    return ranked.join(F.broadcast(table), "virtual_slot").withColumn("slot", F.col("base") + F.col("place")).drop("base", "place", "copy")  # as many rows as slots
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard, slot of each row of docs(doc_id, text); shards are near equal in bytes.
 
-    Null and empty texts have size 1. Rows that repeat both id and text share a slot, all others are spread; null ids count as one
-    value. The map is saved as version 1 of folder. Other columns are not read; an empty table gives no rows."""
+    Null and empty texts have size 1. Rows that repeat an id, with other or equal texts, and rows of null id are spread over the slots. The map is saved as version 1 of folder. Other columns are not read; an empty table gives no rows."""
     spark = docs.sparkSession
-    rows = slotted(docs, slots)
+    rows = written(slotted(docs, slots), "slotted")
     load = loads(rows)
     first = balanced(load, shards, slots)
     save(spark, folder or new_path(spark, "slot-map"), 1, first, load)
