@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlweave.runtime import small, written
+from crawlweave.runtime import dropped, measured, small, written
 
 RULES = "1"
 KINDS = ("assign", "access", "hex")
@@ -49,26 +49,36 @@ def scan(versions: DataFrame, ledger: str, rules: str = RULES) -> DataFrame:
     """path, version, blob, spans of every row of versions(path, version, text); null texts are empty. Findings go to the ledger.
 
     The ledger is a folder of Parquet in a store that all executors reach: blob, rules, spans. Rows that repeat, null paths and
-    null versions stay rows; an empty table gives none and leaves the ledger as it is. Other columns are not read."""
+    null versions stay rows; an empty table gives none and leaves the ledger as it is. Other columns are not read. Texts are scanned
+    where they are read: the rows that have an unseen blob first, or, if those are fewer, the rows to pass over, are broadcast when
+    they are few enough bytes; else texts are shuffled once."""
     spark = versions.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = versions.select("path", "version", text.alias("text"))
-    named = rows.select("path", "version", F.sha2("text", 256).alias("blob"))
+    digest = F.unhex(F.sha2("text", 256))
+    named = written(rows.select("path", "version", digest.alias("blob")), "blob-names")
     target = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     shape = f"blob string, rules string, spans {SPANS}"
     there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
     known = spark.read.schema(shape).parquet(ledger) if there else spark.createDataFrame([], shape)
-    known = known.where(F.col("rules") == rules)
+    known = known.where(F.col("rules") == rules).withColumn("blob", F.unhex("blob"))
     one = named.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
     unseen = written(one.join(known.select("blob"), "blob", "left_anti").select("blob", "at.path", "at.version"), "unseen-blobs")
+    same = lambda a, b: a.path.eqNullSafe(b.path) & a.version.eqNullSafe(b.version) & (a.blob == b.blob)
     if unseen.head(1):
-        at = small(unseen.select(F.col("path").alias("p"), F.col("version").alias("v"), "blob"))
-        todo = rows.join(at, rows.path.eqNullSafe(F.col("p")) & rows.version.eqNullSafe(F.col("v")))
-        todo = todo.where(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
-        todo.mapInArrow(_scan, f"blob string, spans {SPANS}").select("blob", F.lit(rules).alias("rules"), "spans").write.mode("append").parquet(ledger)
-        known = spark.read.schema(shape).parquet(ledger).where(F.col("rules") == rules)
-    found = written(known.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), "blob-findings")
-    return named.join(small(found, 200_000), "blob", "left").select("path", "version", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+        passed = written(named.join(unseen, same(named, unseen), "left_anti").distinct(), "seen-blobs")
+        todo = rows.withColumn("blob", digest)
+        if measured(passed)[1] < measured(unseen)[1]:
+            todo = todo.join(small(passed), same(todo, passed), "left_anti")
+        else:
+            todo = todo.join(small(unseen), same(todo, unseen), "left_semi")
+        found = todo.select(F.lower(F.hex("blob")).alias("blob"), "text").mapInArrow(_scan, f"blob string, spans {SPANS}")
+        found.select("blob", F.lit(rules).alias("rules"), "spans").write.mode("append").parquet(ledger)
+        dropped(passed)
+        known = spark.read.schema(shape).parquet(ledger).where(F.col("rules") == rules).withColumn("blob", F.unhex("blob"))
+    hits = written(known.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), "blob-findings")
+    dropped(unseen)
+    return named.join(small(hits), "blob", "left").select("path", "version", F.lower(F.hex("blob")).alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def span_text(column):
@@ -78,16 +88,19 @@ def span_text(column):
 
 
 def redacted(docs: DataFrame, found: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span of found(doc_id, spans) replaced by the mask, overlapping spans by one; n_chars follows where there is one."""
-    hit = small(written(found.where(F.size("spans") > 0).select("doc_id", "blob", "spans").distinct(), "findings"), 200_000)
-    hit = hit.select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    both = docs.join(hit, docs.doc_id.eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce(docs.text, F.lit("")), 256) == F.col("_blob")), "left")
+    """docs(text, ...) with the spans of found(blob, spans) in every text of that digest replaced by the mask, overlapping spans by one.
+
+    All own columns stay, whatever their names; n_chars follows the text where there is one. Null and empty texts, repeated rows and
+    rows of found without spans change nothing; an empty table gives no rows."""
+    hit = written(found.where(F.size("spans") > 0).select(F.unhex("blob").alias("blob"), "spans").dropDuplicates(["blob"]), "findings")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
+    text = F.col("row.text")
     none = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    before = lambda s, x: F.substring(F.col("text"), s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int"))
+    before = lambda s, x: F.substring(text, s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int"))
     step = lambda s, x: F.when(x["start"] < s["at"], F.struct(s["out"].alias("out"), F.greatest(s["at"], x["end"]).alias("at"))).otherwise(F.struct(F.concat(s["out"], before(s, x), F.lit(mask)).alias("out"), x["end"].alias("at")))
-    free = F.aggregate("_spans", none, step)
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(free["out"], F.substring(F.col("text"), free["at"].cast("int") + 1, F.length("text"))))
-    out = both.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(docs.columns)
+    free = F.aggregate("spans", none, step)
+    out = rows.join(small(hit), "blob", "left").withColumn("free", free)
+    new = F.when(F.col("spans").isNull(), text).otherwise(F.concat("free.out", F.substring(text, F.col("free.at").cast("int") + 1, F.length(text))))
+    size = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast("long")) if "n_chars" in docs.columns else None
+    out = out.withColumn("new", new)
+    return out.select(*[F.col("new").alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
