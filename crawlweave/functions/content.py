@@ -74,8 +74,12 @@ def length_mismatch(declared: Column, body: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """1024-based units with one digit."""
+    """1024-based units with one digit; ties go up, by whole numbers."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for power, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(n < 1024 ** (power + 1), F.concat(F.format_string("%.1f", n / 1024**power), F.lit(" " + unit)))
-    return out.otherwise(F.concat(F.format_string("%.1f", n / 1024**4), F.lit(" TB")))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        size = F.lit(1024**power).cast("long")
+        whole, rest = F.shiftright(n, 10 * power), n % size
+        tenths = whole * 10 + F.shiftright(rest * 10 + F.lit(1024**power // 2).cast("long"), 10 * power)
+        text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" " + unit))
+        out = out.when(n < 1024 ** (power + 1), text) if unit != "TB" else out.otherwise(text)
+    return out

@@ -7,15 +7,17 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlweave.functions import whatwg
 from crawlweave.functions.content import LINK_RELS
 
 #: Element, attribute and name of each plain source of links, in the order in which links are listed.
 SOURCES = (("a", "href"), ("img", "src"), ("video", "src"), ("source", "src"), ("object", "data"), ("embed", "src"), ("iframe", "src"), ("video", "poster"))
-LINK = T.StructType([T.StructField("place", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("source", "href", "anchor"))])
-LINKS = T.StructType([T.StructField("title", T.StringType()), T.StructField("links", T.ArrayType(LINK))])
+LINK_COLUMNS = ("place", "source", "discovered_url", "normalized_discovered_url", "anchor")
+LINK_FIELDS = [T.StructField(n, T.IntegerType() if n == "place" else T.StringType()) for n in LINK_COLUMNS]
 
 
 class _Links(HTMLParser):
@@ -67,10 +69,35 @@ def read_html(html: str | None) -> dict:
     return {"title": "".join(parser.title or []).strip(), "links": links}
 
 
-@F.pandas_udf(LINKS)
-def html_links(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for html in parts:
-        yield pd.DataFrame([read_html(x) for x in html], columns=["title", "links"])
+def title_of(titles: pd.Series) -> pd.Series:
+    return titles.map(lambda x: read_html(x)["title"])
+
+
+html_title = F.pandas_udf(title_of, T.StringType())
+
+
+def link_rows(keep: int):
+    """For mapInArrow: from rows whose column `keep` is an address and the next one its HTML, the columns before `keep` and, one row for
+    each accepted link, place, source, discovered_url, normalized_discovered_url, anchor. Each page is parsed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, (url, html) in enumerate(zip(batch.column(keep).to_pylist(), batch.column(keep + 1).to_pylist(), strict=True)):
+                for link in read_html(html)["links"] if url is not None else ():
+                    found, key, _ = whatwg.discovered(link["href"], url)
+                    if found is not None:
+                        at.append(i)
+                        rows.append((link["place"], link["source"], found, key, link["anchor"]))
+            own = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:keep]]
+            made = [pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.string()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=[*batch.schema.names[:keep], *LINK_COLUMNS])
+
+    return run
+
+
+#: Fixed value: what a video's contents row says.
+NO_DURATION = "Video duration extraction is not implemented in MVP"
 
 
 def image_size(data: bytes) -> tuple[int, int] | None:
@@ -112,8 +139,8 @@ def media_facts(kind: str, data: bytes) -> tuple[dict, str, str | None]:
     size = {"fileSize": len(data)}
     if kind == "image":
         at = image_size(data)
-        return ({"width": at[0], "height": at[1], **size}, "ok", None) if at else (size, "partial", "Could not determine image dimensions")
+        return ({"width": at[0], "height": at[1], **size}, "ok", None) if at else (size, "partial", "The image has no readable size")
     if kind == "video":
-        return {**size, "durationSeconds": None}, "partial", "Video duration extraction is not implemented in MVP"
+        return {**size, "durationSeconds": None}, "partial", NO_DURATION
     facts = pdf_facts(data)
-    return (facts, "ok", None) if facts else (size, "failed", "Invalid PDF")
+    return (facts, "ok", None) if facts else (size, "failed", "The file is no readable PDF")

@@ -1,13 +1,24 @@
-"""URL canonicalisation, resolution, hashing and scope as Catalyst expressions."""
+"""URL canonicalisation, hashing and scope as Catalyst expressions.
+
+Parts are bound once (`let`), so an expression does not repeat how its parts were made. The expressions cover addresses with plain
+ASCII hosts; `normalized_any` gives the others to the Python parser and is null where that rejects them."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from crawlweave.functions import suffixes, whatwg
+from crawlweave.functions.suffixes import let, registrable
+
+__all__ = ["encoded_path", "folded", "host", "in_scope", "let", "normalized", "normalized_any", "registrable", "resolved", "scope_of", "scheme", "sorted_query", "supported", "url_hash"]
 
 ABSOLUTE = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
-#: Public suffixes of two labels that this build knows; every other last label is a suffix by itself.
-SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "github.io", "gitlab.io", "gov.uk", "herokuapp.com", "ne.jp", "net.au", "or.jp", "org.au", "org.uk", "blogspot.com", "vercel.app", "netlify.app", "pages.dev")
+#: Addresses whose host, port and path need no more than these expressions do.
+PLAIN = r"(?i)^https?://[a-z0-9_\-]+(?:\.[a-z0-9_\-]+)*\.?(?::[1-9]\d{0,3})?(?:[/?#](?![^?#]*(?:\\|%2e))[^\x00-\x1f]*)?$"
+_NUMBER = r"(?i)^https?://(?:[^/?#]*\.)?(?:\d+|0x[0-9a-f]*)\.?(?::|[/?#]|$)"
 _SAFE_PATH = r"^[!$%&'()*+,\-./0-9:;=@A-Z\[\\\]_a-z|~^]*$"
 
 
@@ -17,15 +28,21 @@ def scheme(url: Column) -> Column:
 
 def supported(url: Column) -> Column:
     """Absolute, http or https, with a host."""
-    return scheme(url).isin("http", "https") & (F.regexp_extract(url, ABSOLUTE, 2) != "")
+    return url.rlike(r"(?i)^\s*https?://[^/?#\s\\]+(?:[/?#\\]|$)")
 
 
-def _authority(url: Column) -> Column:
+def _authority(url: Column, key: bool = False) -> Column:
+    """User, host in lower case and port, without the scheme's own port; a key is read as https, which loses 443 too."""
     raw = F.regexp_extract(url, ABSOLUTE, 2)
-    user = F.regexp_extract(raw, r"^(.*@)", 1)
-    host = F.lower(F.regexp_replace(raw, r"^.*@", ""))
-    without = F.when(scheme(url) == "http", F.regexp_replace(host, ":80$", "")).otherwise(host)
-    return F.concat(user, F.regexp_replace(F.regexp_replace(without, ":443$", ""), ":$", ""))
+
+    def of(x: Column) -> Column:
+        user, rest = F.regexp_extract(x, r"^(.*@)", 1), F.lower(F.regexp_replace(x, r"^.*@", ""))
+        rest = F.regexp_replace(rest, r":0*(\d*)$", ":$1")
+        own = F.when(scheme(url) == "http", F.regexp_replace(rest, ":80$", "")).otherwise(F.regexp_replace(rest, ":443$", ""))
+        own = F.regexp_replace(own, ":443$", "") if key else own
+        return F.concat(user, F.regexp_replace(own, ":$", ""))
+
+    return let(raw, of)
 
 
 def encoded_path(path: Column) -> Column:
@@ -57,32 +74,43 @@ def sorted_query(query: Column) -> Column:
 
 def normalized(url: Column) -> Column:
     """The key that two spellings of an address share; null unless it is an absolute http(s) address."""
-    path = encoded_path(folded(F.regexp_replace(F.regexp_extract(url, ABSOLUTE, 3), r"\s+$", "")))
-    path = F.regexp_replace(path, "/+$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    query = sorted_query(F.regexp_replace(F.regexp_extract(url, ABSOLUTE, 4), r"^\?", ""))
-    whole = F.concat(F.lit("https://"), _authority(url), path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
-    return F.when(supported(url), whole)
+    path = let(F.regexp_replace(F.regexp_extract(url, ABSOLUTE, 3), r"\s+$", ""), folded)
+    path = let(path, lambda p: let(F.regexp_replace(encoded_path(p), "/+$", ""), lambda x: F.when(x == "", F.lit("/")).otherwise(x)))
+    query = let(F.regexp_replace(F.regexp_extract(url, ABSOLUTE, 4), r"^\?", ""), lambda q: let(sorted_query(q), lambda x: F.when(x == "", x).otherwise(F.concat(F.lit("?"), x))))
+    return F.when(supported(url), F.concat(F.lit("https://"), _authority(url, key=True), path, query))
+
+
+@F.pandas_udf(T.StringType())
+def _python_key(urls: pd.Series) -> pd.Series:
+    return urls.map(whatwg.normalized, na_action="ignore")
+
+
+def normalized_any(url: Column) -> Column:
+    """As normalized, by the standard to the letter: only addresses that are not plain reach Python, all others are null there."""
+    plain = F.coalesce(url.rlike(PLAIN) & ~url.rlike(_NUMBER), F.lit(False))
+    return F.coalesce(F.when(plain, normalized(url)), _python_key(F.when(~plain, url)))
 
 
 def resolved(href: Column, base: Column) -> Column:
-    """href seen from base, without fragment; null unless that is http(s)."""
-    link = F.regexp_replace(F.trim(href), "#.*$", "")
-    root = F.concat(scheme(base), F.lit("://"), _authority(base))
-    path = F.regexp_extract(base, ABSOLUTE, 3)
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
-    place = F.regexp_extract(link, r"^([^?]*)", 1)
-    query = F.regexp_extract(link, r"(\?.*)$", 1)
-    same = F.concat(root, F.when(path == "", F.lit("/")).otherwise(encoded_path(path)))
-    out = (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(supported(link), F.concat(scheme(link), F.lit("://"), _authority(link), F.when(F.regexp_extract(link, ABSOLUTE, 3) == "", F.lit("/")).otherwise(encoded_path(folded(F.regexp_extract(link, ABSOLUTE, 3)))), F.regexp_extract(link, ABSOLUTE, 4))))
-        .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
-        .when(link == "", F.concat(same, F.regexp_extract(base, ABSOLUTE, 4)))
-        .when(place == "", F.concat(same, query))
-        .when(link.startswith("/"), F.concat(root, encoded_path(folded(place)), query))
-        .otherwise(F.concat(root, encoded_path(folded(F.concat(folder, place))), query))
-    )
-    return F.when(supported(base), out)
+    """href seen from base, without fragment; null unless that is http(s). For plain addresses; whatwg.discovered has the whole standard."""
+    absolute = lambda x: F.concat(scheme(x), F.lit("://"), _authority(x), let(F.regexp_extract(x, ABSOLUTE, 3), lambda p: F.when(p == "", F.lit("/")).otherwise(let(folded(p), encoded_path))), F.regexp_extract(x, ABSOLUTE, 4))
+
+    def of(p: Column) -> Column:
+        link, root, path = p["link"], p["root"], p["path"]
+        place = F.regexp_extract(link, r"^([^?]*)", 1)
+        query = F.regexp_extract(link, r"(\?.*)$", 1)
+        folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+        same = F.concat(root, F.when(path == "", F.lit("/")).otherwise(encoded_path(path)))
+        return (
+            F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(supported(link), absolute(link)))
+            .when(link.startswith("//"), let(F.concat(scheme(base), F.lit(":"), link), absolute))
+            .when(link == "", F.concat(same, F.regexp_extract(base, ABSOLUTE, 4)))
+            .when(place == "", F.concat(same, query))
+            .otherwise(let(F.when(link.startswith("/"), place).otherwise(F.concat(folder, place)), lambda x: F.concat(root, let(folded(x), encoded_path), query)))
+        )
+
+    parts = F.struct(F.regexp_replace(F.trim(href), "#.*$", "").alias("link"), F.concat(scheme(base), F.lit("://"), _authority(base)).alias("root"), F.regexp_extract(base, ABSOLUTE, 3).alias("path"))
+    return F.when(supported(base) & href.isNotNull(), let(parts, of))
 
 
 def url_hash(key: Column) -> Column:
@@ -94,13 +122,9 @@ def host(key: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_extract(key, ABSOLUTE, 2), r"^.*@", ""), r":\d+$", "")
 
 
-def registrable(name: Column) -> Column:
-    """The suffix and one label; addresses, single labels and suffixes stand for themselves."""
-    labels = F.split(F.lower(name), r"\.")
-    two = F.array_join(F.slice(labels, -2, 2), ".")
-    three = F.array_join(F.slice(labels, -3, 3), ".")
-    out = F.when(two.isin(*SUFFIXES), F.when(F.size(labels) >= 3, three).otherwise(two)).otherwise(two)
-    return F.when((F.size(labels) < 2) | name.rlike(r"^[\d.]+$") | name.startswith("["), F.lower(name)).otherwise(out)
+def scope_of(seed_key: str, policy: str, rules: suffixes.Rules | None = None) -> Column:
+    """The value that a run's scope is compared with: the seed's registrable domain or its host."""
+    return registrable(host(F.lit(seed_key)), rules) if policy == "registrable_domain" else host(F.lit(seed_key))
 
 
 def in_scope(key: Column, policy: str, value: str) -> Column:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from crawlweave.functions import extract, urls
+from crawlweave.functions import extract
 
 EDGE_KEY = ("crawl_run_id", "from_url_id", "normalized_discovered_url", "source")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """page_id, place, source, discovered_url, normalized_discovered_url, anchor of every accepted link of pages(page_id, url, html)."""
-    each = pages.select("page_id", "url", extract.html_links("html").alias("h")).select("page_id", "url", F.explode("h.links").alias("l"))
-    each = each.select("page_id", F.col("l.place").alias("place"), F.col("l.source").alias("source"), urls.resolved(F.col("l.href"), F.col("url")).alias("discovered_url"), F.col("l.anchor").alias("anchor"))
-    return each.where("discovered_url is not null").withColumn("normalized_discovered_url", urls.normalized(F.col("discovered_url")))
+def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """The other columns of pages and place, source, discovered_url, normalized_discovered_url, anchor of every accepted link; each page is parsed once."""
+    own = [c for c in pages.columns if c not in (url, html)]
+    kept = pages.select(*own, url, html)
+    return kept.mapInArrow(extract.link_rows(len(own)), T.StructType([*kept.schema.fields[: len(own)], *extract.LINK_FIELDS]))
 
 
 def decided(scope: Column, depth: Column, max_depth: int | None, known: Column, room: Column) -> Column:
@@ -48,8 +49,13 @@ def folded(edges: DataFrame, order: str) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """old edges with folded new ones: targets are kept unless a new one is known, flags are replaced."""
-    o, n = old.alias("o"), folded(new, order).alias("n")
+    """old edges with new observations."""
+    return merged(old, folded(new, order), order)
+
+
+def merged(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """old edges with folded new ones: targets are kept unless a new one is known, flags are replaced, first addresses stay."""
+    o, n = old.alias("o"), new.alias("n")
     both = o.join(n, list(EDGE_KEY), "full_outer")
     newer = lambda c: F.when(F.col(f"n.{order}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     return both.select(*EDGE_KEY, F.coalesce("n.to_url_id", "o.to_url_id").alias("to_url_id"), newer("in_scope"), newer("skip_reason"), F.coalesce("o.discovered_url", "n.discovered_url").alias("discovered_url"), F.coalesce(f"o.{order}", f"n.{order}").alias(order))

@@ -76,10 +76,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {P}, {L} SELECT d.domain, CAST(d.pages AS BIGINT) AS pages, CAST(x.occurrences AS BIGINT) AS occurrences, CAST(x.edges AS BIGINT) AS edges, CAST(x.targets AS BIGINT) AS targets FROM (SELECT {_DOMAIN.format('key')} AS domain, count(*) AS pages FROM p GROUP BY 1) d JOIN (SELECT {_DOMAIN.format('p.key')} AS domain, count(*) AS occurrences, count(DISTINCT p.key || ' ' || target) AS edges, count(DISTINCT target) AS targets FROM e JOIN p USING (page_id) GROUP BY 1) x USING (domain)")
 def site_graph_report(spark, sf_dir):
-    """Pages, link occurrences, distinct edges and targets of each registrable domain."""
-    p = pages(spark, sf_dir).select("page_id", "key", urls.registrable(urls.host(F.col("key"))).alias("domain"))
-    e = edges(spark, sf_dir).select("page_id", F.col("normalized_discovered_url").alias("target")).join(p, "page_id")
-    x = e.groupBy("domain").agg(F.count("*").alias("occurrences"), F.countDistinct("key", "target").alias("edges"), F.countDistinct("target").alias("targets"))
+    """Pages, link occurrences, distinct edges and targets of each registrable domain.
+
+    Edges are made distinct by hashes of their ends once; targets and edges are then counted from that."""
+    p = pages(spark, sf_dir).select("page_id", "key").withColumn("domain", urls.registrable(urls.host(F.col("key"))))
+    e = edges(spark, sf_dir).select("page_id", F.sha2("normalized_discovered_url", 256).alias("target")).join(p, "page_id")
+    once = e.groupBy("domain", "target", F.sha2("key", 256).alias("source")).agg(F.count("*").alias("n"))
+    each = once.groupBy("domain", "target").agg(F.sum("n").alias("n"), F.count("*").alias("edges"))
+    x = each.groupBy("domain").agg(F.sum("n").alias("occurrences"), F.sum("edges").alias("edges"), F.count("*").alias("targets"))
     return p.groupBy("domain").agg(F.count("*").alias("pages")).join(x, "domain", "left").fillna(0, ["occurrences", "edges", "targets"])
 
 
@@ -104,20 +108,25 @@ def link_extract(spark, sf_dir):
     return edges(spark, sf_dir).select("page_id", F.col("place").cast("long").alias("place"), "source", F.col("normalized_discovered_url").alias("normalized_url"))
 
 
-@query(f"WITH {L} SELECT page_id, count(*) AS n_links FROM e GROUP BY page_id")
+@query(f"WITH {L} SELECT pages.page_id, count(e.page_id) AS n_links FROM pages LEFT JOIN e ON e.page_id = pages.page_id GROUP BY 1")
 def link_count(spark, sf_dir):
-    return edges(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n_links"))
+    """0 for a page without links."""
+    found = edges(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"))
 
 
 @query("SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages")
 def title_extract(spark, sf_dir):
     ship(spark)
-    return table(spark, sf_dir, "pages").select("page_id", extract.html_links("html")["title"].alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", extract.html_title("html").alias("title"))
 
 
-@query()
+@query('''WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>') AS tags FROM pages),
+b AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS place FROM a),
+t AS (SELECT page_id, place, trim(regexp_replace(regexp_replace(regexp_extract(tag, '(?s)^<a[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, CAST(place AS BIGINT) AS place, nullif(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '') AS anchor FROM t''')
 def anchor_text(spark, sf_dir):
-    return edges(spark, sf_dir).select("page_id", "place", "anchor")
+    return edges(spark, sf_dir).select("page_id", F.col("place").cast("long").alias("place"), "anchor")
 
 
 @query(f"WITH {P}, {L} SELECT p.key AS from_key, e.target AS to_key, CAST(count(*) AS BIGINT) AS n FROM e JOIN p USING (page_id) GROUP BY 1, 2")
@@ -146,13 +155,23 @@ def edges_skip_reason(spark, sf_dir):
     return e.select("page_id", F.col("place").cast("long").alias("place"), "in_scope", reason.alias("skip_reason"))
 
 
-@query(f"""WITH {L}, n AS (SELECT page_id, target, place, CASE WHEN place % 2 = 0 THEN target END AS t, CASE WHEN place % 3 = 0 THEN 'limit' END AS skip FROM e),
-f AS (SELECT page_id, target, max(CASE WHEN t IS NOT NULL THEN t END) AS to_url_id, arg_max_null(skip, place) AS skip_reason, min(place) AS place FROM n GROUP BY 1, 2)
-SELECT page_id, target, to_url_id, skip_reason, CAST(place AS BIGINT) AS place FROM f""")
+@query(f"""WITH {L}, n AS (SELECT page_id, target, place, k, CASE WHEN (place + k) % 2 = 0 THEN target END AS t, (place + k) % 5 <> 0 AS in_scope, CASE WHEN (place + k) % 3 = 0 THEN 'limit' END AS skip
+      FROM e, (SELECT unnest([0, 1]) AS k) WHERE k = 1 OR place % 2 = 0),
+f AS (SELECT page_id, target, k, max(CASE WHEN t IS NOT NULL THEN t END) AS to_url_id, arg_max(in_scope, place) AS in_scope, arg_max_null(skip, place) AS skip_reason, min(place) AS place FROM n GROUP BY 1, 2, 3),
+o AS (SELECT * FROM f WHERE k = 0), w AS (SELECT * FROM f WHERE k = 1 AND place % 3 <> 2)
+SELECT page_id, target, coalesce(w.to_url_id, o.to_url_id) AS to_url_id, CASE WHEN w.k IS NULL THEN o.in_scope ELSE w.in_scope END AS in_scope,
+CASE WHEN w.k IS NULL THEN o.skip_reason ELSE w.skip_reason END AS skip_reason, CAST(coalesce(o.place, w.place + 1000) AS BIGINT) AS place FROM o FULL JOIN w USING (page_id, target)""")
 def edges_upsert(spark, sf_dir):
-    e = edges(spark, sf_dir).select(F.lit("run").alias("crawl_run_id"), F.col("page_id").cast("string").alias("from_url_id"), "normalized_discovered_url", "source", F.when(F.col("place") % 2 == 0, F.col("normalized_discovered_url")).alias("to_url_id"), F.lit(True).alias("in_scope"), F.when(F.col("place") % 3 == 0, "limit").alias("skip_reason"), "discovered_url", F.col("place").cast("long").alias("ord"))
-    out = E.upserted(E.folded(e.where("false"), "ord"), e, "ord")
-    return out.select(F.col("from_url_id").cast("long").alias("page_id"), F.col("normalized_discovered_url").alias("target"), "to_url_id", "skip_reason", F.col("ord").alias("place"))
+    """Even links as the table before; all links, but those first seen at every third place, as observed again with other targets, flags and reasons."""
+
+    def seen(k: int) -> DataFrame:
+        p = F.col("place") + k
+        e = edges(spark, sf_dir).select(F.lit("run").alias("crawl_run_id"), F.col("page_id").cast("string").alias("from_url_id"), "normalized_discovered_url", "source", F.when(p % 2 == 0, F.col("normalized_discovered_url")).alias("to_url_id"), (p % 5 != 0).alias("in_scope"), F.when(p % 3 == 0, "limit").alias("skip_reason"), "discovered_url", (F.col("place") + 1000 * k).cast("long").alias("ord"))
+        return e.where("ord % 2 = 0") if k == 0 else e
+
+    new = E.folded(seen(1), "ord").where("(ord - 1000) % 3 <> 2")
+    out = E.merged(E.folded(seen(0), "ord"), new, "ord")
+    return out.select(F.col("from_url_id").cast("long").alias("page_id"), F.col("normalized_discovered_url").alias("target"), "to_url_id", "in_scope", "skip_reason", F.col("ord").alias("place"))
 
 
 @query(f"WITH {P}, d AS (SELECT key, min(page_id) AS seq FROM p GROUP BY key) SELECT key, seq FROM d ORDER BY seq LIMIT 20")
@@ -264,10 +283,17 @@ def finalize_status(spark, sf_dir):
     return frontier(spark, sf_dir).agg(F.count_if(F.col("status").isin("permanent_failed", "blocked")).alias("n")).select(Q.final_status(F.col("n")).alias("status"))
 
 
-@query("SELECT page_id, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' ELSE printf('%.1f KB', n / 1024) END AS text FROM (SELECT page_id, strlen(html) AS n FROM pages) WHERE n * 10 % 1024 <> 512")
+def _sized(unit: int) -> str:
+    """One digit, ties up: tenths of the unit by whole numbers."""
+    return f"CAST((n * 10 + {unit} // 2) // {unit} // 10 AS VARCHAR) || '.' || CAST((n * 10 + {unit} // 2) // {unit} % 10 AS VARCHAR)"
+
+
+@query(f"""WITH s AS (SELECT page_id, power, CAST(strlen(html) AS HUGEINT) * CAST(pow(1000, power) AS HUGEINT) AS n FROM pages, (SELECT unnest(range(5)) AS power))
+SELECT page_id, CAST(power AS BIGINT) AS power, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN {_sized(1024)} || ' KB' WHEN n < 1073741824 THEN {_sized(1024**2)} || ' MB' WHEN n < 1099511627776 THEN {_sized(1024**3)} || ' GB' ELSE {_sized(1024**4)} || ' TB' END AS text FROM s""")
 def format_bytes(spark, sf_dir):
-    """The size of every page. A tie of the one digit goes up, as in the reference's toFixed(1); the SQL leaves pages that may tie out."""
-    return table(spark, sf_dir, "pages").select("page_id", content.format_bytes(F.octet_length("html").cast("long")).alias("text"))
+    """The size of every page, and a thousand times as much up to four times over, so that all units occur. A tie of the one digit goes up."""
+    n = F.octet_length("html").cast("long") * F.pow(F.lit(1000.0), F.col("power")).cast("long")
+    return table(spark, sf_dir, "pages").withColumn("power", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).select("page_id", "power", content.format_bytes(n).alias("text"))
 
 
 @query(f"WITH {P}, c AS (SELECT page_id, {_KIND} AS kind, strlen(html) AS n FROM p WHERE status_code = 200) SELECT kind, CAST(count(*) AS BIGINT) AS contents, CAST(sum(n) AS BIGINT) AS bytes FROM c WHERE kind IS NOT NULL GROUP BY kind")
