@@ -11,7 +11,9 @@ IMAGE_TYPES = {"image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "
 VIDEO_TYPES = {"video/mp4": ".mp4", "video/webm": ".webm", "video/quicktime": ".mov"}
 FOLDERS = {"html": "html", "image": "images", "video": "videos", "pdf": "pdfs"}
 KINDS = ("html", "image", "video", "pdf")
+UNKNOWN_TYPE = "application/octet-stream"
 LINK_RELS = ("stylesheet", "icon", "apple-touch-icon", "manifest", "preload", "modulepreload")
+TEXTUAL = ("application/json", "application/xml", "application/xhtml+xml", "application/javascript", "application/ecmascript")
 BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 
 
@@ -47,7 +49,7 @@ def output_path(folder: str, content_type: Column, url_hash: Column) -> Column:
 
 def textual(content_type: Column) -> Column:
     m = media_type(content_type)
-    return m.startswith("text/") | m.endswith("+xml") | m.isin("application/json", "application/xml", "application/xhtml+xml", "application/javascript", "application/ecmascript")
+    return m.startswith("text/") | m.endswith("+xml") | m.isin(*TEXTUAL)
 
 
 def decoded(raw: Column, content_type: Column, strategy: str) -> Column:

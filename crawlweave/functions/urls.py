@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from crawlweave.functions import suffixes, whatwg
 from crawlweave.functions.suffixes import let, registrable
 
-__all__ = ["encoded_path", "folded", "host", "in_scope", "let", "normalized", "normalized_any", "registrable", "resolved", "scope_of", "scheme", "sorted_query", "supported", "url_hash"]
+__all__ = ["encoded_path", "folded", "host", "in_scope", "let", "normalized", "normalized_any", "registrable", "resolved", "resolved_any", "scope_of", "scheme", "sorted_query", "supported", "url_hash"]
 
 ABSOLUTE = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 #: Addresses whose host, port and path need no more than these expressions do.
@@ -113,6 +113,16 @@ def resolved(href: Column, base: Column) -> Column:
     return F.when(supported(base) & href.isNotNull(), let(parts, of))
 
 
+@F.pandas_udf(T.StringType())
+def _python_resolved(href: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None or b is None else whatwg.discovered(h, b)[0] for h, b in zip(href, base, strict=True)], dtype=object)
+
+
+def resolved_any(href: Column, base: Column) -> Column:
+    """href seen from base by the standard to the letter, in Python: for the few rows that have one, such as redirects."""
+    return _python_resolved(href, base)
+
+
 def url_hash(key: Column) -> Column:
     return F.sha2(key, 256)
 

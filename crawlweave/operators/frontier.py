@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATUSES = ("queued", "in_progress", "done", "retryable_failed", "permanent_failed", "skipped_unsupported", "blocked", "redirected")
+from crawlweave import schema
+
+STATUSES = schema.URL_STATUSES
+MAX_ATTEMPTS = 5
 
 
 def eligible(now: Column) -> Column:

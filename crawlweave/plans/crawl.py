@@ -1,23 +1,27 @@
-"""The crawl as a bulk-synchronous recursive query over a mock site: each superstep claims, joins responses, classifies, extracts links,
-admits new addresses by rank, folds edges and publishes all tables at once."""
+"""The crawl as a bulk-synchronous recursive query: each superstep claims, fetches, classifies, reads contents, admits new addresses by rank,
+folds edges and publishes all tables at once. A run can stop after any step and be resumed from the tables."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlweave.functions import content, extract, http, urls
+from crawlweave import schema
+from crawlweave.functions import content, http, suffixes, urls
 from crawlweave.operators import edges as E
 from crawlweave.operators import frontier as Q
+from crawlweave.operators import runs as R
+from crawlweave.pacing import MAX_REDIRECTS, Control, Events, GlobalPause, Limits, SimplePause
+from crawlweave.plans import contents as C
 from crawlweave.runtime import remove
-from crawlweave.sources.store import Store
+from crawlweave.sources.fetch import MockSite, Source
+from crawlweave.sources.store import Conflict, Store
 
-URLS = "id string, crawl_run_id string, url string, normalized_url string, depth int, redirect_count int, status string, http_status_code int, content_type string, attempt_count int, max_attempts int, next_attempt_at timestamp, last_error string, last_error_type string, discovered_from_url_id string, claimed_at timestamp, finished_at timestamp, seq bigint, fetches int"
-EDGES = "crawl_run_id string, from_url_id string, normalized_discovered_url string, source string, to_url_id string, in_scope boolean, skip_reason string, discovered_url string, ord bigint"
 SITE = "url string, call_no int, status_code int, headers map<string,string>, body string"
-MAX_REDIRECTS = 10
 
 
 @dataclass
@@ -25,82 +29,208 @@ class Summary:
     status: str
     steps: int
     version: int
+    run_id: str = ""
+    counts: dict[str, int] = field(default_factory=dict)
 
 
-def crawl(spark: SparkSession, site: DataFrame, seed: str, folder: str, now: str = "2026-07-03 12:00:00", batch: int = 1000, max_urls: int | None = None, max_depth: int | None = None, max_attempts: int = 5, policy: str = "registrable_domain", max_steps: int = 200) -> Summary:
-    """Runs to quiescence, or to the first step that meets the cap. site(url, call_no, status_code, headers, body): the n-th fetch of an
-    address gets its n-th response, the last one repeats, an unknown address is a 404. Time is a logical clock that starts at now and is
-    moved to the next retry when nothing else is left."""
-    store = Store(spark, folder)
-    key = spark.range(1).select(urls.normalized(F.lit(seed)).alias("k")).first()["k"]
-    if key is None:
-        raise ValueError(f"{seed} is not an http(s) address")
-    host = spark.range(1).select(urls.host(F.lit(key)).alias("h")).first()["h"]
-    scope = spark.range(1).select(urls.registrable(F.lit(host)).alias("s")).first()["s"] if policy == "registrable_domain" else host
-    run = "run-1"
-    clock = F.lit(now).cast("timestamp")
-    start = spark.range(1).select(F.sha2(F.lit(run + key), 256).alias("id"), F.lit(run).alias("crawl_run_id"), F.lit(seed).alias("url"), F.lit(key).alias("normalized_url"), *[F.lit(v).cast(t).alias(n) for n, t, v in (("depth", "int", 0), ("redirect_count", "int", 0), ("status", "string", "queued"), ("http_status_code", "int", None), ("content_type", "string", None), ("attempt_count", "int", 0), ("max_attempts", "int", max_attempts))], clock.alias("next_attempt_at"), *[F.lit(v).cast(t).alias(n) for n, t, v in (("last_error", "string", None), ("last_error_type", "string", None), ("discovered_from_url_id", "string", None), ("claimed_at", "timestamp", None), ("finished_at", "timestamp", None), ("seq", "bigint", 0), ("fetches", "int", 0))])
-    version = store.commit({"urls": start, "edges": spark.createDataFrame([], EDGES)}, store.version())
-    last_call = site.groupBy("url").agg(F.max("call_no").alias("calls"))
-    site = site.join(last_call, "url")
-    limit = False
-    step = 0
+@dataclass
+class Settings:
+    """What a session of a run needs besides its tables. The logical clock starts at now; without one it is the wall clock."""
+
+    now: str | None = None
+    batch: int = 1000
+    max_steps: int | None = None
+    handlers: tuple[C.Handler, ...] | None = C.HANDLERS
+    output_root: str | None = None
+    rules: suffixes.Rules | None = None
+    retry: Callable[..., Column] = http.retry
+    pause: GlobalPause | SimplePause | None = None
+    control: Control = field(default_factory=Control)
+    log: Events = field(default_factory=Events)
+
+
+def start(store: Store, seed: str, options: R.Options, now: Column, run_id: str | None = None, rules: suffixes.Rules | None = None) -> str:
+    """Adds a run and its seed to the tables; other runs stay."""
+    spark = store.spark
+    runs, first = R.created(spark, seed, options, now, run_id, rules)
+    run_id = runs.first()["id"]
+    version = store.version()
+    if not version:
+        empty = {name: spark.createDataFrame([], ddl) for name, ddl in schema.TABLES.items()}
+        store.commit(empty | {"runs": runs, "urls": first}, 0)
+    else:
+        store.commit({"runs": store.read("runs").unionByName(runs), "urls": store.read("urls").unionByName(first)}, version)
+    return run_id
+
+
+def resume(store: Store, run_id: str, asked: R.Resume, now: Column) -> int:
+    """Takes a run over: one of several that try wins. How many claimed addresses were queued again."""
+    version = store.version()
+    runs = store.read("runs", version)
+    row = runs.where(F.col("id") == run_id).first()
+    R.check_resume(row.asDict() if row else None, run_id, asked)
+    lost = "run is already running or not " + ("stale enough" if row["status"] == "running" else "resumable")
+    taken = R.marked_running(runs, run_id, asked, now, (row["status"],))
+    if not taken.where("taken").head(1):
+        raise R.RunError(lost)
+    table = store.read("urls", version)
+    own = F.col("crawl_run_id") == run_id
+    claimed = table.where(own & (F.col("status") == "in_progress")).count()
+    try:
+        store.commit({"runs": taken.drop("taken"), "urls": Q.recovered(table.where(own)).unionByName(table.where(~own))}, version)
+    except Conflict:
+        raise R.RunError(lost) from None
+    return claimed
+
+
+def ranked(rows: DataFrame, order: str, base: int, name: str) -> DataFrame:
+    """rows, a written table, with `name` counting from base in the given order, without gaps: ranges are sorted apart and their sizes summed."""
+    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = {r[0]: r[1] for r in parts.groupBy("_part").count().collect()}  # a row for each partition
+    offsets, at = [], base
+    for part in range(max(sizes, default=-1) + 1):
+        offsets.append(at)
+        at += sizes.get(part, 0)
+    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets or [base]]), F.col("_part") + 1)
+    return parts.withColumn(name, first + F.col("_row")).drop("_part", "_row")
+
+
+def advance(store: Store, run_id: str, source: Source, settings: Settings | None = None) -> Summary:
+    """Steps to quiescence, a limit, a shutdown or max_steps (which pauses the run), and writes the run's end in any case."""
+    s = settings or Settings()
+    spark, log = store.spark, s.log
+    run = store.read("runs").where(F.col("id") == run_id).first().asDict()
+    clock = F.lit(s.now).cast("timestamp") if s.now else F.lit(time.time()).cast("timestamp")
+    limits = Limits(run["max_runtime_seconds"] if not s.now else None, run["max_bytes"], time.time())
+    step = shutdown = 0
+    status = "failed"
+    log.emit("run_started", run_id=run_id)
+    try:
+        while True:
+            if s.control.shutdown.is_set() or s.max_steps is not None and step >= s.max_steps:
+                shutdown = 1
+                break
+            run = store.read("runs").where(F.col("id") == run_id).first().asDict()
+            if s.control.limit or limits.reached(run["total_bytes"]):
+                s.control.limit = True
+                break
+            table = store.read("urls").where(F.col("crawl_run_id") == run_id)
+            state = table.agg(F.count_if(Q.eligible(clock)).alias("ready"), F.min(F.when(F.col("status") == "retryable_failed", F.col("next_attempt_at"))).alias("later"), F.count("*").alias("known"), F.max("seq").alias("last")).first()
+            if not state["ready"]:
+                if state["later"] is None:
+                    break
+                log.emit("waiting_for_retry", until=state["later"])
+                if not s.now:
+                    time.sleep(max(0.0, state["later"].timestamp() - time.time()))
+                clock = F.lit(state["later"])
+                continue
+            if s.pause:
+                s.pause.wait()
+            if not s.now:
+                clock = F.lit(time.time()).cast("timestamp")
+            step += 1
+            _superstep(store, run, source, s, clock, state)
+    except Exception as e:
+        s.control.infra_failure = True
+        log.emit("run_crashed", level="error", run_id=run_id, error=str(e)[:500])
+        raise
+    finally:
+        now = clock if s.now else F.lit(time.time()).cast("timestamp")
+        counts = {r["status"]: r["n"] for r in Q.zero_filled(store.read("urls").where(F.col("crawl_run_id") == run_id), "status", Q.STATUSES).collect()}
+        bad = F.lit(counts["permanent_failed"] + counts["blocked"])
+        end = Q.final_status(bad, shutdown=bool(shutdown), limit=s.control.limit, infra=s.control.infra_failure)
+        version = store.commit({"runs": R.ended(store.read("runs"), run_id, end, now)}, store.version())
+        status = store.read("runs").where(F.col("id") == run_id).first()["status"]
+        log.emit("run_ended", run_id=run_id, status=status, steps=step)
+    return Summary(status, step, version, run_id, counts)
+
+
+def _superstep(store: Store, run: dict, source: Source, s: Settings, clock: Column, state) -> None:
+    spark, run_id, version = store.spark, run["id"], store.version()
+    all_urls, graph, kept, runs = (store.read(t, version) for t in ("urls", "edges", "contents", "runs"))
+    table = all_urls.where(F.col("crawl_run_id") == run_id)
+    folder = f"{store.folder}/steps/{version}"
 
     def cut(df: DataFrame, name: str) -> DataFrame:
-        """A step's intermediate table, written so that later expressions refer to columns instead of repeating how those are made."""
-        path = f"{store.folder}/steps/{step}/{name}"
+        """A step's intermediate table, written so that nothing is fetched or read twice."""
+        path = f"{folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    while step < max_steps and not limit:
-        table, graph = store.read("urls"), store.read("edges")
-        state = table.agg(F.count_if(Q.eligible(clock)).alias("ready"), F.min(F.when(F.col("status") == "retryable_failed", F.col("next_attempt_at"))).alias("later"), F.count("*").alias("known")).first()
-        if not state["ready"]:
-            if state["later"] is None:
-                break
-            clock = F.lit(state["later"])
-            continue
-        step += 1
-        task = cut(Q.claim(table, batch, clock), "claimed")
-        got = task.join(site.select(F.col("url").alias("s_url"), "call_no", "calls", "status_code", "headers", "body"), (F.col("url") == F.col("s_url")) & (F.col("call_no") == F.least(F.col("fetches") + 1, F.col("calls"))), "left")
-        got = got.withColumns({"status_code": F.coalesce("status_code", F.lit(404)), "has_body": F.coalesce(F.length("body") > 0, F.lit(False)), "ct": F.coalesce(content.header(F.col("headers"), "content-type"), F.lit("application/octet-stream"))})
-        got = got.withColumns({"act": http.action(F.col("status_code"), F.col("has_body")), "kind": content.kind(F.col("ct")), "location": content.header(F.col("headers"), "location"), "after": content.header(F.col("headers"), "retry-after")})
-        fetched = cut(got.drop("headers", "s_url"), "fetched")
-        got = fetched.drop("body").withColumns({"location": urls.resolved(F.col("location"), F.col("url")), "has_location": F.coalesce(F.trim("location") != "", F.lit(False)), "after": http.retry_after_ms(F.col("after"), clock)})
-        got = cut(got, "resolved").withColumns({"target": urls.normalized(F.col("location")), "again": http.retry(F.col("act"), F.col("attempt_count"), F.col("max_attempts"), F.col("after"))})
-        got = cut(got, "targets")
-        turned = F.when(~F.col("has_location"), "redirect_missing_location").when(F.col("redirect_count") >= MAX_REDIRECTS, "redirect_limit_exceeded").when(F.col("target").isNull(), "redirect_invalid_location")
-        got = got.withColumn("bad_turn", F.when(F.col("act") == "redirect", turned))
-        act, self_turn = F.col("act"), F.col("target") == F.col("normalized_url")
-        result = (
-            F.when(act == "success_with_body", F.when(F.col("kind").isNull(), "skipped_unsupported").otherwise("done"))
-            .when(act == "not_found", "permanent_failed").when(act == "blocked", "blocked")
-            .when(act == "redirect", F.when(F.col("bad_turn").isNotNull(), "permanent_failed").when(self_turn, "requeued").otherwise("redirected"))
-            .otherwise(F.when(F.col("again.retry"), "retryable_failed").otherwise("permanent_failed"))
-        )
-        why = F.coalesce("bad_turn", F.when(act == "not_found", "http_status").when(act == "unexpected", "unexpected_status").when(act == "success_with_body", "unsupported_content_type").otherwise(act))
-        outcomes = got.select("id", result.alias("action"), F.col("status_code").alias("http"), F.col("ct").alias("content_type"), why.alias("error"), why.alias("error_type"), F.col("again.delay_ms").alias("delay_ms"), F.col("again.consumes").alias("consumes"), F.col("location").alias("new_url"))
-        pages = fetched.where((act == "success_with_body") & (F.col("kind") == "html")).select("id", "seq", "url", "depth", extract.html_links("body").alias("h")).select("id", "seq", "url", "depth", F.explode("h.links").alias("l"))
-        found = pages.select(F.col("id").alias("from_url_id"), (F.col("depth") + 1).alias("depth"), F.lit(0).alias("redirect_count"), F.col("l.source").alias("source"), urls.resolved(F.col("l.href"), F.col("url")).alias("discovered_url"), F.struct(F.col("seq"), F.col("l.place").alias("place")).alias("at"))
-        moved = got.where((act == "redirect") & F.col("bad_turn").isNull() & ~self_turn).select(F.col("id").alias("from_url_id"), "depth", (F.col("redirect_count") + 1).alias("redirect_count"), F.lit("redirect").alias("source"), F.col("location").alias("discovered_url"), F.struct(F.col("seq"), F.lit(0).alias("place")).alias("at"))
-        cand = cut(found.unionByName(moved).where("discovered_url is not null"), "found").withColumn("key", urls.normalized(F.col("discovered_url")))
-        cand = cut(cut(cand, "keyed").withColumn("in_scope", urls.in_scope(F.col("key"), policy, scope)), "candidates")
-        deep = F.lit(False) if max_depth is None else F.col("depth") > max_depth
-        fresh = cand.where(F.col("in_scope") & ~deep).join(table.select(F.col("normalized_url").alias("key")), "key", "left_anti")
-        heads = E.first_by(fresh.select("key", "at", "from_url_id", "depth", "redirect_count", "discovered_url"), ["key"], ["at"])
-        room = None if max_urls is None else max(0, max_urls - state["known"])
-        heads = heads if room is None else heads.orderBy("at").limit(room)
-        new = cut(heads.select(F.sha2(F.concat(F.lit(run), "key"), 256).alias("id"), F.lit(run).alias("crawl_run_id"), F.col("discovered_url").alias("url"), F.col("key").alias("normalized_url"), "depth", "redirect_count", F.lit("queued").alias("status"), *[F.lit(None).cast(t).alias(n) for n, t in (("http_status_code", "int"), ("content_type", "string"))], F.lit(0).alias("attempt_count"), F.lit(max_attempts).alias("max_attempts"), clock.alias("next_attempt_at"), *[F.lit(None).cast(t).alias(n) for n, t in (("last_error", "string"), ("last_error_type", "string"))], F.col("from_url_id").alias("discovered_from_url_id"), *[F.lit(None).cast("timestamp").alias(n) for n in ("claimed_at", "finished_at")], (F.lit(step).cast("bigint") * (1 << 40) + F.col("at.seq") % (1 << 20) * (1 << 20) + F.col("at.place")).alias("seq"), F.lit(0).alias("fetches")), "new")
-        ids = task.select("id").withColumn("hit", F.lit(1))
-        after = Q.outcome(table, outcomes, clock).join(ids, "id", "left").withColumn("fetches", F.col("fetches") + F.coalesce("hit", F.lit(0))).drop("hit").unionByName(new)
-        known = table.select(F.col("normalized_url").alias("key"), F.col("id").alias("to_url_id")).unionByName(new.select(F.col("normalized_url").alias("key"), F.col("id").alias("to_url_id")))
-        seen = cand.join(known, "key", "left")
-        reason = E.decided(F.col("in_scope"), F.col("depth"), max_depth, F.col("to_url_id").isNotNull(), F.lit(False))
-        seen = seen.select(F.lit(run).alias("crawl_run_id"), "from_url_id", F.col("key").alias("normalized_discovered_url"), "source", F.when(reason.isNull(), F.col("to_url_id")).alias("to_url_id"), "in_scope", reason.alias("skip_reason"), "discovered_url", (F.lit(step).cast("bigint") * (1 << 40) + F.col("at.seq") % (1 << 20) * (1 << 20) + F.col("at.place")).alias("ord"))
-        version = store.commit({"urls": after, "edges": E.upserted(graph, seen, "ord").select(*graph.columns)}, version)
-        remove(spark, f"{store.folder}/steps/{step}")
-        if max_urls is not None:
-            limit = bool(store.read("edges").where((F.col("skip_reason") == "limit") & (F.col("ord") >= step << 40)).head(1))
-    failed = store.read("urls").agg(F.count_if(F.col("status").isin("permanent_failed", "blocked")).alias("n"))
-    status = failed.select(Q.final_status(F.col("n"), limit=limit, shutdown=step >= max_steps).alias("s")).first()["s"]
-    return Summary(status, step, version)
+    task = cut(Q.claim(table, s.batch, clock), "claimed")
+    got = source(task.drop("http_status_code", "content_type")).withColumn("has_body", F.coalesce(F.octet_length("body") > 0, F.lit(False)))
+    got = got.withColumns({"ct": F.coalesce(content.header(F.col("headers"), "content-type"), F.lit(content.UNKNOWN_TYPE)), "etag": content.header(F.col("headers"), "etag"), "location": content.header(F.col("headers"), "location"), "after": content.header(F.col("headers"), "retry-after"), "mismatch": content.length_mismatch(content.header(F.col("headers"), "content-length"), F.col("body"))})
+    got = got.withColumn("act", F.when(F.col("error_kind").isNotNull(), "transport").otherwise(http.action(F.col("status_code"), F.col("has_body"))))
+    got = got.withColumn("file_path", C.file_path(run["output_dir"], F.col("ct"), F.col("url_hash"))).withColumnRenamed("ct", "content_type")
+    fetched = cut(got.withColumn("body", F.when(F.col("act") == "success_with_body", F.col("body"))).drop("headers"), "fetched")
+    read = C.passed_over(fetched) if s.handlers is None else C.processed(fetched, s.handlers, s.output_root)
+    read = cut(read, "read")
+    got = read.drop("links").withColumns({"has_location": F.coalesce(F.trim("location") != "", F.lit(False)), "after": http.retry_after_ms(F.col("after"), clock)})
+    got = got.withColumn("location", urls.resolved_any(F.col("location"), F.col("url")))
+    got = cut(got, "turned").withColumns({"target": urls.normalized_any(F.col("location")), "reason": F.when(F.col("act") == "transport", F.col("error_kind")).otherwise(F.col("act"))})
+    got = got.withColumn("again", s.retry(F.col("reason"), F.col("attempt_count"), F.col("max_attempts"), F.col("after")))
+    turned = F.when(~F.col("has_location"), "redirect_missing_location").when(F.col("redirect_count") >= MAX_REDIRECTS, "redirect_limit_exceeded").when(F.col("target").isNull(), "redirect_invalid_location")
+    got = cut(got.withColumn("bad_turn", F.when(F.col("act") == "redirect", turned)), "decided")
+    act, self_turn = F.col("act"), F.col("target") == F.col("normalized_url")
+    result = (
+        F.when(act == "success_with_body", F.when(F.col("kind").isNull(), "skipped_unsupported").otherwise("done"))
+        .when(act == "not_found", "permanent_failed").when(act == "blocked", "blocked")
+        .when(act == "redirect", F.when(F.col("bad_turn").isNotNull(), "permanent_failed").when(self_turn, "requeued").otherwise("redirected"))
+        .otherwise(F.when(F.col("again.retry"), "retryable_failed").otherwise("permanent_failed"))
+    )
+    why = F.coalesce("bad_turn", F.when(act == "not_found", "http_status").when(act == "unexpected", "unexpected_status").when(act == "success_with_body", "unsupported_content_type").otherwise(F.col("reason")))
+    code = F.when(act == "transport", F.col("error_status")).otherwise(F.col("status_code"))
+    outcomes = got.select("id", result.alias("action"), code.alias("http"), "content_type", why.alias("error"), why.alias("error_type"), F.col("again.delay_ms").alias("delay_ms"), F.col("again.consumes").alias("consumes"), F.col("location").alias("new_url"))
+    outcomes = outcomes.withColumn("http", F.when((F.col("action") == "permanent_failed"), F.coalesce("http", F.lit(0))).otherwise(F.col("http")))
+
+    at = lambda place: F.struct(F.lit(version).cast("long").alias("step"), F.col("seq"), place.cast("int").alias("place"))
+    found = read.where("links is not null").select(F.col("id").alias("from_url_id"), "depth", "seq", F.explode("links").alias("l"))
+    found = found.select("from_url_id", (F.col("depth") + 1).alias("depth"), F.lit(0).alias("redirect_count"), F.col("l.source").alias("source"), F.col("l.discovered_url").alias("discovered_url"), F.col("l.key").alias("key"), at(F.col("l.place")).alias("at"))
+    moved = got.where((act == "redirect") & F.col("bad_turn").isNull() & ~self_turn).select(F.col("id").alias("from_url_id"), "depth", (F.col("redirect_count") + 1).alias("redirect_count"), F.lit("redirect").alias("source"), F.col("location").alias("discovered_url"), F.col("target").alias("key"), at(F.lit(0)).alias("at"))
+    scope = urls.registrable(urls.host(F.col("key")), s.rules) if run["scope_policy"] == "registrable_domain" else urls.host(F.col("key"))
+    cand = cut(found.unionByName(moved).withColumn("in_scope", F.coalesce(scope == F.lit(run["scope_host"]), F.lit(False))), "candidates")
+    deep = F.lit(False) if run["max_depth"] is None else F.col("depth") > run["max_depth"]
+    fresh = cand.where(F.col("in_scope") & ~deep).join(table.select(F.col("normalized_url").alias("key")), "key", "left_anti")
+    heads = E.first_by(fresh.select("key", "at", "from_url_id", "depth", "redirect_count", "discovered_url"), ["key"], ["at"])
+    if run["max_urls"] is not None:
+        heads = heads.orderBy("at").limit(max(0, run["max_urls"] - run["urls_enqueued"]))
+    heads = ranked(cut(heads, "heads"), "at", state["last"] + 1, "seq")
+    made = {"id": R.url_id(F.lit(run_id), F.col("key")), "crawl_run_id": F.lit(run_id), "url": F.col("discovered_url"), "normalized_url": F.col("key"), "url_hash": F.sha2("key", 256), "host": urls.host(F.col("key")), "status": F.lit("queued"), "attempt_count": F.lit(0), "max_attempts": F.lit(Q.MAX_ATTEMPTS), "next_attempt_at": clock, "discovered_from_url_id": F.col("from_url_id"), "created_at": clock, "updated_at": clock, "fetches": F.lit(0)}
+    made |= {c: F.col(c) for c in ("depth", "redirect_count", "seq")}
+    new = cut(heads.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in all_urls.schema.fields]), "new")
+
+    known = table.select(F.col("normalized_url").alias("key"), F.col("id").alias("to_url_id")).unionByName(new.select(F.col("normalized_url").alias("key"), F.col("id").alias("to_url_id")))
+    seen = cand.join(known, "key", "left")
+    reason = E.decided(F.col("in_scope"), F.col("depth"), run["max_depth"], F.col("to_url_id").isNotNull(), F.lit(False))
+    seen = cut(seen.select(F.lit(run_id).alias("crawl_run_id"), "from_url_id", F.col("key").alias("normalized_discovered_url"), "source", F.when(reason.isNull(), F.col("to_url_id")).alias("to_url_id"), "in_scope", reason.alias("skip_reason"), "discovered_url", F.col("at").alias("ord")), "seen")
+    facts = read.agg(F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), F.col("byte_size"))), F.lit(0)).alias("bytes"), F.count_if("mismatch").alias("mismatched"), F.max(F.when(act == "rate_limited", F.coalesce(http.retry_after_ms(F.col("after"), clock), F.lit(-1).cast("long")))).alias("pause")).first()
+    hit = task.select("id").withColumn("hit", F.lit(1))
+    after = Q.outcome(table, outcomes, clock).join(hit, "id", "left")
+    after = after.withColumns({"fetches": F.col("fetches") + F.coalesce("hit", F.lit(0)), "updated_at": F.when(F.col("hit").isNotNull(), clock).otherwise(F.col("updated_at"))}).drop("hit")
+    others = all_urls.where(F.col("crawl_run_id") != run_id)
+    tables = {"urls": after.unionByName(new).unionByName(others.select(after.columns)), "runs": R.counted(runs, run_id, new.count(), facts["bytes"], clock)}
+    if seen.head(1):
+        tables["edges"] = E.upserted(graph, seen, "ord").select(*graph.columns)
+    fresh_contents = C.inserted(kept, C.content_rows(read, clock))
+    if s.handlers is not None:
+        tables["contents"] = kept.unionByName(fresh_contents)
+    store.commit(tables, version)
+    if run["max_urls"] is not None and seen.where("skip_reason = 'limit'").head(1):
+        s.control.limit = True
+    if facts["pause"] is not None:
+        s.log.emit("rate_limited_pause", ms=facts["pause"])
+        if s.pause:
+            s.pause.limited(None if facts["pause"] < 0 else facts["pause"])
+    if facts["mismatched"]:
+        s.log.emit("content_length_mismatch", level="warning", n=facts["mismatched"])
+    s.log.emit("step_committed", run_id=run_id, version=version + 1, bytes=facts["bytes"])
+    remove(spark, folder)
+
+
+def crawl(spark: SparkSession, site: DataFrame, seed: str, folder: str, now: str = "2026-07-03 12:00:00", batch: int = 1000, max_steps: int | None = None, run_id: str = "run-1", settings: Settings | None = None, **options) -> Summary:
+    """A whole run over a mock site (see MockSite) with a logical clock, which is moved to the next retry when nothing else is left."""
+    store = Store(spark, folder)
+    s = settings or Settings()
+    s.now, s.batch, s.max_steps = now, batch, max_steps
+    start(store, seed, R.Options(**{"scope_policy": options.pop("policy", "registrable_domain")} | options), F.lit(now).cast("timestamp"), run_id, s.rules)
+    return advance(store, run_id, MockSite(site), s)

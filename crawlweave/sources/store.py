@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,17 +38,44 @@ class Store:
         """Writes tables as the version after `expected`; tables that are not given stay. Only one writer can publish a version."""
         if self.version() != expected:
             raise Conflict(f"version {self.version()}, not {expected}")
-        import uuid
-
         paths = self.manifest(expected) if expected else {}
         for name, df in tables.items():
             paths[name] = f"{self.folder}/{name}/{uuid.uuid4().hex}"
             df.write.parquet(paths[name])
-        target = self._path(f"{self.folder}/manifests/{expected + 1}")
-        try:
-            out = self._fs.create(target, False)  # fails if the file is there
-        except Exception as e:
-            raise Conflict(f"version {expected + 1} is published") from e
+        self._publish(expected + 1, paths)
+        return expected + 1
+
+    def _publish(self, version: int, paths: dict[str, str]) -> None:
+        """The manifest is written aside and renamed, so readers see it whole or not at all; a name that is taken is never replaced."""
+        target, aside = self._path(f"{self.folder}/manifests/{version}"), self._path(f"{self.folder}/aside/{uuid.uuid4().hex}")
+        self._fs.mkdirs(target.getParent())
+        out = self._fs.create(aside, False)
         out.write(bytearray(json.dumps(paths).encode()))
         out.close()
-        return expected + 1
+        try:
+            if self._fs.exists(target):
+                raise Conflict(f"version {version} is published")
+            context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            none = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm.org.apache.hadoop.fs.Options, "Rename"), 0)
+            context.rename(aside, target, none)  # fails if the target is there
+        except Conflict:
+            raise
+        except Exception as e:
+            raise Conflict(f"version {version} is published") from e
+        finally:
+            self._fs.delete(aside, False)
+
+    def drop_versions(self, keep: int = 3) -> int:
+        """Deletes all but the last versions and the tables that only they name; how many tables went."""
+        last = self.version()
+        kept = [self.manifest(v) for v in range(max(1, last - keep + 1), last + 1)]
+        live = {p for m in kept for p in m.values()}
+        gone = set()
+        for v in range(1, max(1, last - keep + 1)):
+            at = self._path(f"{self.folder}/manifests/{v}")
+            if self._fs.exists(at):
+                gone |= set(self.manifest(v).values()) - live
+                self._fs.delete(at, False)
+        for p in gone:
+            self._fs.delete(self._path(p), True)
+        return len(gone)
