@@ -62,16 +62,17 @@ def registrable(name: Column, rules: Rules | None = None) -> Column:
 
     def of(labels: Column) -> Column:
         last = lambda n: F.array_join(F.slice(labels, F.lit(-n), F.lit(n)), ".")
+        among = lambda x, names: F.contains(F.lit(f" {' '.join(sorted(names))} "), F.concat(F.lit(" "), x, F.lit(" ")))  # noqa: E731  one literal, however many names
         size = F.lit(1)
         for n in range(1, most + 1):
             hit = F.lit(False)
-            if own := sorted(x for x in rules.plain if x.count(".") == n - 1):
-                hit = hit | last(n).isin(*own)
-            if own := sorted(x for x in rules.wild if x.count(".") == n - 2):
-                hit = hit | last(n - 1).isin(*own)
+            if own := [x for x in rules.plain if x.count(".") == n - 1]:
+                hit = hit | among(last(n), own)
+            if own := [x for x in rules.wild if x.count(".") == n - 2]:
+                hit = hit | among(last(n - 1), own)
             size = F.when((F.size(labels) >= n) & hit, F.lit(n)).otherwise(size)
         for n in sorted({x.count(".") + 1 for x in rules.exceptions}):
-            size = F.when((F.size(labels) >= n) & last(n).isin(*sorted(x for x in rules.exceptions if x.count(".") == n - 1)), F.lit(n - 1)).otherwise(size)
+            size = F.when((F.size(labels) >= n) & among(last(n), [x for x in rules.exceptions if x.count(".") == n - 1]), F.lit(n - 1)).otherwise(size)
         return let(size, lambda k: F.array_join(F.when(F.size(labels) > k, F.slice(labels, -(k + 1), k + 1)).otherwise(labels), "."))
 
     whole = F.lower(name)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from crawlweave.functions import suffixes, whatwg
 from crawlweave.functions.suffixes import let, registrable
 
-__all__ = ["encoded_path", "folded", "host", "in_scope", "let", "normalized", "normalized_any", "registrable", "resolved", "resolved_any", "scope_of", "scheme", "sorted_query", "supported", "url_hash"]
+__all__ = ["discovered", "encoded_path", "folded", "host", "in_scope", "let", "normalized", "normalized_any", "registrable", "resolved", "resolved_any", "scope_of", "scheme", "sorted_query", "supported", "url_hash"]
 
 ABSOLUTE = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 #: Addresses whose host, port and path need no more than these expressions do.
@@ -123,6 +123,16 @@ def resolved_any(href: Column, base: Column) -> Column:
     return _python_resolved(href, base)
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("url", "key", "rejected")]))
+def _python_discovered(href: pd.Series, base: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None, None) if b is None else whatwg.discovered(h, b) for h, b in zip(href, base, strict=True)], columns=["url", "key", "rejected"], dtype=object)
+
+
+def discovered(href: Column, base: Column) -> Column:
+    """url, key, and why a link leads nowhere: unparseable or unsupported_scheme."""
+    return _python_discovered(href, base)
+
+
 def url_hash(key: Column) -> Column:
     return F.sha2(key, 256)
 

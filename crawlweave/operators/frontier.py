@@ -42,11 +42,10 @@ def termination(frontier: DataFrame, now: Column) -> DataFrame:
     return frontier.agg(F.count_if(s == "in_progress").alias("in_progress"), F.count_if((s == "retryable_failed") & (F.col("next_attempt_at") > now)).alias("future_retryable"), F.count_if(s == "queued").alias("queued"))
 
 
-def final_status(counts: Column, shutdown: bool = False, limit: bool = False, infra: bool = False) -> Column:
-    """counts: permanently failed and blocked rows together."""
-    if shutdown or limit or infra:
-        return F.lit("paused" if shutdown else "limit_reached" if limit else "failed")
-    return F.when(counts > 0, "completed_with_failures").otherwise("completed")
+def final_status(counts: Column, shutdown: bool | Column = False, limit: bool | Column = False, infra: bool | Column = False) -> Column:
+    """counts: permanently failed and blocked rows together. A shutdown comes before a limit, that before a failure of the store."""
+    flag = lambda x: F.lit(x) if isinstance(x, bool) else x
+    return F.when(flag(shutdown), "paused").when(flag(limit), "limit_reached").when(flag(infra), "failed").when(counts > 0, "completed_with_failures").otherwise("completed")
 
 
 def outcome(frontier: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
@@ -69,7 +68,7 @@ def outcome(frontier: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
         "last_error_type": pick(a.isin("retryable_failed", "permanent_failed", "blocked", "skipped_unsupported"), F.col("o_error_type"), "last_error_type"),
         "url": pick(a == "requeued", F.col("o_new_url"), "url"),
         "redirect_count": pick(a == "requeued", F.col("redirect_count") + 1, "redirect_count"),
-        "claimed_at": F.when(a.isin("retryable_failed", "requeued"), None).when(a.isNotNull(), now).otherwise(F.col("claimed_at")),
+        "claimed_at": F.when(a.isin("retryable_failed", "requeued"), None).when(a.isNotNull(), F.coalesce("claimed_at", now)).otherwise(F.col("claimed_at")),
         "finished_at": F.when(a == "requeued", None).when(final, now).otherwise(F.col("finished_at")),
     })
     return out.select(frontier.columns)

@@ -119,9 +119,9 @@ def check_resume(run: dict[str, Any] | None, run_id: str, asked: Resume) -> None
         raise RunError("stale_after_ms must be at least 1")
 
 
-def marked_running(runs: DataFrame, run_id: str, asked: Resume, now: Column, expected: tuple[str, ...]) -> DataFrame:
-    """runs with one run set running and its limits as asked, if its status is expected and, for a running one, its heartbeat is stale."""
-    hit = (F.col("id") == run_id) & F.col("status").isin(*expected)
+def marked_running(runs: DataFrame, run_id: str | None, asked: Resume, now: Column, expected: tuple[str, ...]) -> DataFrame:
+    """runs with one run (or all) set running and its limits as asked, if its status is expected and, for a running one, its heartbeat is stale."""
+    hit = (F.lit(True) if run_id is None else F.col("id") == run_id) & F.col("status").isin(*expected)
     if "running" in expected:
         hit = hit & (F.col("updated_at") < F.timestamp_add("MILLISECOND", F.lit(-(asked.stale_after_ms or 0)), now))
     values = {n: F.lit(v) for n, v in asked.values.items()} | {"status": F.lit("running"), "finished_at": F.lit(None), "updated_at": now}

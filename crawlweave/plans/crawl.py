@@ -83,16 +83,20 @@ def resume(store: Store, run_id: str, asked: R.Resume, now: Column) -> int:
     return claimed
 
 
-def ranked(rows: DataFrame, order: str, base: int, name: str) -> DataFrame:
-    """rows, a written table, with `name` counting from base in the given order, without gaps: ranges are sorted apart and their sizes summed."""
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = {r[0]: r[1] for r in parts.groupBy("_part").count().collect()}  # a row for each partition
+def placed(rows: DataFrame, order: str) -> DataFrame:
+    """rows in ranges of the order, with their range (_part) and place in it (_row); to be written before `ranked` reads it."""
+    return rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def ranked(parts: DataFrame, base: int, name: str) -> tuple[DataFrame, int]:
+    """Written placed rows with `name` counting from base in their order, without gaps, and how many there are: only the ranges' sizes reach the driver."""
+    sizes = {r[0]: r[1] for r in parts.groupBy("_part").count().collect()}
     offsets, at = [], base
     for part in range(max(sizes, default=-1) + 1):
         offsets.append(at)
         at += sizes.get(part, 0)
     first = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets or [base]]), F.col("_part") + 1)
-    return parts.withColumn(name, first + F.col("_row")).drop("_part", "_row")
+    return parts.withColumn(name, first + F.col("_row")).drop("_part", "_row"), at - base
 
 
 def advance(store: Store, run_id: str, source: Source, settings: Settings | None = None) -> Summary:
@@ -157,20 +161,17 @@ def _superstep(store: Store, run: dict, source: Source, s: Settings, clock: Colu
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    task = cut(Q.claim(table, s.batch, clock), "claimed")
+    task = Q.claim(table, s.batch, clock)
     got = source(task.drop("http_status_code", "content_type")).withColumn("has_body", F.coalesce(F.octet_length("body") > 0, F.lit(False)))
-    got = got.withColumns({"ct": F.coalesce(content.header(F.col("headers"), "content-type"), F.lit(content.UNKNOWN_TYPE)), "etag": content.header(F.col("headers"), "etag"), "location": content.header(F.col("headers"), "location"), "after": content.header(F.col("headers"), "retry-after"), "mismatch": content.length_mismatch(content.header(F.col("headers"), "content-length"), F.col("body"))})
-    got = got.withColumn("act", F.when(F.col("error_kind").isNotNull(), "transport").otherwise(http.action(F.col("status_code"), F.col("has_body"))))
-    got = got.withColumn("file_path", C.file_path(run["output_dir"], F.col("ct"), F.col("url_hash"))).withColumnRenamed("ct", "content_type")
-    fetched = cut(got.withColumn("body", F.when(F.col("act") == "success_with_body", F.col("body"))).drop("headers"), "fetched")
-    read = C.passed_over(fetched) if s.handlers is None else C.processed(fetched, s.handlers, s.output_root)
-    read = cut(read, "read")
-    got = read.drop("links").withColumns({"has_location": F.coalesce(F.trim("location") != "", F.lit(False)), "after": http.retry_after_ms(F.col("after"), clock)})
-    got = got.withColumn("location", urls.resolved_any(F.col("location"), F.col("url")))
-    got = cut(got, "turned").withColumns({"target": urls.normalized_any(F.col("location")), "reason": F.when(F.col("act") == "transport", F.col("error_kind")).otherwise(F.col("act"))})
+    header = lambda name: content.header(F.col("headers"), name)
+    got = got.withColumns({"content_type": F.coalesce(header("content-type"), F.lit(content.UNKNOWN_TYPE)), "etag": header("etag"), "location": header("location"), "after": http.retry_after_ms(header("retry-after"), clock), "mismatch": content.length_mismatch(header("content-length"), F.col("body"))})
+    got = got.withColumns({"act": F.when(F.col("error_kind").isNotNull(), "transport").otherwise(http.action(F.col("status_code"), F.col("has_body"))), "file_path": C.file_path(run["output_dir"], F.col("content_type"), F.col("url_hash"))})
+    got = got.withColumns({"body": F.when(F.col("act") == "success_with_body", F.col("body")), "turn": urls.discovered(F.when(F.col("act") == "redirect", F.col("location")), F.col("url"))}).drop("headers")
+    read = cut(C.passed_over(got) if s.handlers is None else C.processed(got, s.handlers, s.output_root), "read")  # each address is fetched and each body read once
+    got = read.drop("links").withColumns({"has_location": F.coalesce(F.trim("location") != "", F.lit(False)), "location": F.col("turn.url"), "target": F.col("turn.key"), "reason": F.when(F.col("act") == "transport", F.col("error_kind")).otherwise(F.col("act"))})
     got = got.withColumn("again", s.retry(F.col("reason"), F.col("attempt_count"), F.col("max_attempts"), F.col("after")))
     turned = F.when(~F.col("has_location"), "redirect_missing_location").when(F.col("redirect_count") >= MAX_REDIRECTS, "redirect_limit_exceeded").when(F.col("target").isNull(), "redirect_invalid_location")
-    got = cut(got.withColumn("bad_turn", F.when(F.col("act") == "redirect", turned)), "decided")
+    got = got.withColumn("bad_turn", F.when(F.col("act") == "redirect", turned))
     act, self_turn = F.col("act"), F.col("target") == F.col("normalized_url")
     result = (
         F.when(act == "success_with_body", F.when(F.col("kind").isNull(), "skipped_unsupported").otherwise("done"))
@@ -194,21 +195,21 @@ def _superstep(store: Store, run: dict, source: Source, s: Settings, clock: Colu
     heads = E.first_by(fresh.select("key", "at", "from_url_id", "depth", "redirect_count", "discovered_url"), ["key"], ["at"])
     if run["max_urls"] is not None:
         heads = heads.orderBy("at").limit(max(0, run["max_urls"] - run["urls_enqueued"]))
-    heads = ranked(cut(heads, "heads"), "at", state["last"] + 1, "seq")
+    heads, added = ranked(cut(placed(heads, "at"), "heads"), state["last"] + 1, "seq")
     made = {"id": R.url_id(F.lit(run_id), F.col("key")), "crawl_run_id": F.lit(run_id), "url": F.col("discovered_url"), "normalized_url": F.col("key"), "url_hash": F.sha2("key", 256), "host": urls.host(F.col("key")), "status": F.lit("queued"), "attempt_count": F.lit(0), "max_attempts": F.lit(Q.MAX_ATTEMPTS), "next_attempt_at": clock, "discovered_from_url_id": F.col("from_url_id"), "created_at": clock, "updated_at": clock, "fetches": F.lit(0)}
     made |= {c: F.col(c) for c in ("depth", "redirect_count", "seq")}
-    new = cut(heads.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in all_urls.schema.fields]), "new")
+    new = heads.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in all_urls.schema.fields])
 
     known = table.select(F.col("normalized_url").alias("key"), F.col("id").alias("to_url_id")).unionByName(new.select(F.col("normalized_url").alias("key"), F.col("id").alias("to_url_id")))
     seen = cand.join(known, "key", "left")
     reason = E.decided(F.col("in_scope"), F.col("depth"), run["max_depth"], F.col("to_url_id").isNotNull(), F.lit(False))
     seen = cut(seen.select(F.lit(run_id).alias("crawl_run_id"), "from_url_id", F.col("key").alias("normalized_discovered_url"), "source", F.when(reason.isNull(), F.col("to_url_id")).alias("to_url_id"), "in_scope", reason.alias("skip_reason"), "discovered_url", F.col("at").alias("ord")), "seen")
-    facts = read.agg(F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), F.col("byte_size"))), F.lit(0)).alias("bytes"), F.count_if("mismatch").alias("mismatched"), F.max(F.when(act == "rate_limited", F.coalesce(http.retry_after_ms(F.col("after"), clock), F.lit(-1).cast("long")))).alias("pause")).first()
-    hit = task.select("id").withColumn("hit", F.lit(1))
+    facts = read.agg(F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), F.col("byte_size"))), F.lit(0)).alias("bytes"), F.count_if("mismatch").alias("mismatched"), F.max(F.when(act == "rate_limited", F.coalesce("after", F.lit(-1).cast("long")))).alias("pause")).first()
+    hit = read.select("id").withColumn("hit", F.lit(1))
     after = Q.outcome(table, outcomes, clock).join(hit, "id", "left")
     after = after.withColumns({"fetches": F.col("fetches") + F.coalesce("hit", F.lit(0)), "updated_at": F.when(F.col("hit").isNotNull(), clock).otherwise(F.col("updated_at"))}).drop("hit")
     others = all_urls.where(F.col("crawl_run_id") != run_id)
-    tables = {"urls": after.unionByName(new).unionByName(others.select(after.columns)), "runs": R.counted(runs, run_id, new.count(), facts["bytes"], clock)}
+    tables = {"urls": after.unionByName(new).unionByName(others.select(after.columns)), "runs": R.counted(runs, run_id, added, facts["bytes"], clock)}
     if seen.head(1):
         tables["edges"] = E.upserted(graph, seen, "ord").select(*graph.columns)
     fresh_contents = C.inserted(kept, C.content_rows(read, clock))

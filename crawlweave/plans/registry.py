@@ -121,7 +121,7 @@ def title_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", extract.html_title("html").alias("title"))
 
 
-@query('''WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>') AS tags FROM pages),
+@query(r'''WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>') AS tags FROM pages),
 b AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS place FROM a),
 t AS (SELECT page_id, place, trim(regexp_replace(regexp_replace(regexp_extract(tag, '(?s)^<a[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text FROM b)
 SELECT page_id, CAST(place AS BIGINT) AS place, nullif(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '') AS anchor FROM t''')
