@@ -1 +1 @@
-"""Part of crawlweave."""
+"""Structured Streaming forms of the crawl's state."""
