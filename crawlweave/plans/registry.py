@@ -288,9 +288,15 @@ def _sized(unit: int) -> str:
     return f"CAST((n * 10 + {unit} // 2) // {unit} // 10 AS VARCHAR) || '.' || CAST((n * 10 + {unit} // 2) // {unit} % 10 AS VARCHAR)"
 
 
+@query(f"SELECT page_id, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN {_sized(1024)} || ' KB' ELSE {_sized(1024**2)} || ' MB' END AS text FROM (SELECT page_id, strlen(html) AS n FROM pages)")
+def format_bytes(spark, sf_dir):
+    """The size of every page; a tie of the one digit goes up."""
+    return table(spark, sf_dir, "pages").select("page_id", content.format_bytes(F.octet_length("html").cast("long")).alias("text"))
+
+
 @query(f"""WITH s AS (SELECT page_id, power, CAST(strlen(html) AS HUGEINT) * CAST(pow(1000, power) AS HUGEINT) AS n FROM pages, (SELECT unnest(range(5)) AS power))
 SELECT page_id, CAST(power AS BIGINT) AS power, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN {_sized(1024)} || ' KB' WHEN n < 1073741824 THEN {_sized(1024**2)} || ' MB' WHEN n < 1099511627776 THEN {_sized(1024**3)} || ' GB' ELSE {_sized(1024**4)} || ' TB' END AS text FROM s""")
-def format_bytes(spark, sf_dir):
+def format_bytes_units(spark, sf_dir):
     """The size of every page, and a thousand times as much up to four times over, so that all units occur. A tie of the one digit goes up."""
     n = F.octet_length("html").cast("long") * F.pow(F.lit(1000.0), F.col("power")).cast("long")
     return table(spark, sf_dir, "pages").withColumn("power", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).select("page_id", "power", content.format_bytes(n).alias("text"))
