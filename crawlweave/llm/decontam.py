@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlweave.llm import kernels as K
+from crawlweave.runtime import released
 
 U = np.uint64
 WINDOW, LANE = 10, 256
@@ -207,7 +208,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     for c in range(chunks):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c).distinct().collect()  # about chunk_bytes
         tables = spark.sparkContext.broadcast(matchers([(r[0], r[1]) for r in rows], window))
-        out = out.select(*[f.name for f in kept], "n_words", "spans", "items").mapInArrow(_search(tables), T.StructType([*kept, *more]))
+        out = out.select(*[f.name for f in kept], "n_words", "spans", "items").mapInArrow(released(_search(tables)), T.StructType([*kept, *more]))
     return out
 
 

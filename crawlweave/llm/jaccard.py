@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlweave.llm import kernels as K
-from crawlweave.runtime import dropped, measured, small, written
+from crawlweave.runtime import dropped, measured, released, small, written
 
 U = np.uint64
 SLOTS_LOG2, PARTS = 18, 64
@@ -54,7 +54,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
         return out
 
     shape = "part int, lane int, counts binary"
-    lanes = docs.select("text").mapInArrow(count, shape).groupBy("part", "lane").applyInPandas(add, shape)
+    lanes = docs.select("text").mapInArrow(released(count), shape).groupBy("part", "lane").applyInPandas(add, shape)
     rows = lanes.groupBy("part").applyInPandas(add, shape).collect()  # 64 rows of 32 KB, whatever the input
     if not rows:
         return np.zeros(1 << SLOTS_LOG2, np.uint8)
@@ -193,12 +193,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
     once for each pair as `b`."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     reps = written(nodes.join(classes.select("node", F.col("rep").alias("doc_id")), "node").select("doc_id").distinct(), "join-ids")
-    rows = docs.join(small(reps), "doc_id", "left_semi").select("text").mapInArrow(_segments(k), "node long, frag int, grams binary")
+    rows = docs.join(small(reps), "doc_id", "left_semi").select("text").mapInArrow(released(_segments(k)), "node long, frag int, grams binary")
     sets = written(rows, "join-sets")
     hubs = sets.select(F.col("node").alias("a"), "frag", F.col("grams").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
     others = sets.select(F.col("node").alias("b"), "frag", F.col("grams").alias("y")).join(small(pairs), "b")
     met = others.join(hubs, ["a", "frag"]).select("a", "b", "frag", "x", "y")
-    part = met.mapInArrow(_overlaps, "a long, b long, frag int, overlap long").groupBy("a", "b", "frag").agg(F.max("overlap").alias("overlap"))  # rows may repeat
+    part = met.mapInArrow(released(_overlaps), "a long, b long, frag int, overlap long").groupBy("a", "b", "frag").agg(F.max("overlap").alias("overlap"))  # rows may repeat
     total = part.groupBy("a", "b").agg(F.sum("overlap").alias("both"))
     size = classes.select("node", "n")
     total = total.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
@@ -393,7 +393,7 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "join-edges")
     mark = state(now)
     if mark[0] <= one_task:
-        out = written(now.coalesce(1).mapInArrow(_united, "node long, label long"), "join-labels")
+        out = written(now.coalesce(1).mapInArrow(released(_united), "node long, label long"), "join-labels")
         dropped(now)
         return out
     while mark[0]:
@@ -461,7 +461,7 @@ def _rounds(join: _Join, large: DataFrame, most: int) -> DataFrame:
         parts = F.ceil(F.col("m") / PART_ROWS)
         dealt = part.withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), parts).cast("long")).drop("m")
         dealt = dealt.repartition("sig", "part").sortWithinPartitions("sig", "part").select("sig", "part", "node", "comp", "n", "sketch")
-        asked = dealt.mapInArrow(_nearest(join.num, join.den), "comp long, apart long, a long, b long")
+        asked = dealt.mapInArrow(released(_nearest(join.num, join.den)), "comp long, apart long, a long, b long")
         asked = asked.groupBy("a", "b", "comp").agg(F.min("apart").alias("apart")).join(join.tested, ["a", "b"], "left_anti")
         asked = asked.groupBy("comp").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         if ROUND_GAIN * join.test(asked) < measured(part)[0]:
@@ -478,7 +478,7 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int, large_bu
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(_frequencies(docs, words))  # 256 KB, whatever the input
-    profile = written(docs.mapInArrow(_profile(words, num, den, levels), "doc_id long, n long, node long, sketch array<long>, wide array<long>, tokens array<long>"), "join-profile")
+    profile = written(docs.mapInArrow(released(_profile(words, num, den, levels)), "doc_id long, n long, node long, sketch array<long>, wide array<long>, tokens array<long>"), "join-profile")
     levels.unpersist()
     part = profile.where("node is not null and doc_id is not null")
     ids = written(profile.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "join-ids")
@@ -502,13 +502,13 @@ def jaccard_components(docs: DataFrame, words: int, num: int, den: int, large_bu
     split = named.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("sig")
     mixed = named.join(split, "sig").join(classes.select("node", "n", "sketch"), "node")
     mixed = mixed.repartition("sig").sortWithinPartitions("sig", "n").select("sig", "node", "comp", "n", "sketch")
-    rest = mixed.mapInArrow(_small_pairs(num, den), "a long, b long")
+    rest = mixed.mapInArrow(released(_small_pairs(num, den)), "a long, b long")
     if top := large.agg(F.max("m")).first()[0] if "m" in large.columns else None:
         blocks = max(4, -(-top // BLOCK_ROWS))
         left = join.labelled(large.select("sig", "node", "n", "sketch")).withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).cast("long"))
         left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
         left = left.repartition("i", "j").sortWithinPartitions("i", "j", "sig").select("i", "j", "sig", "block", "node", "comp", "n", "sketch")
-        rest = rest.unionByName(left.mapInArrow(_block_pairs(num, den), "a long, b long"))
+        rest = rest.unionByName(left.mapInArrow(released(_block_pairs(num, den)), "a long, b long"))
     join.test(rest.distinct().join(join.tested, ["a", "b"], "left_anti"))
     dropped(members, large, sizes, join.tested)
 

@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlweave.runtime import released
+
 CAPACITY = 1024
-#: Words whose ids a worker keeps, and rows and bytes of one batch that it returns.
+#: Words whose ids a task keeps, and rows and bytes of one batch that it returns.
 CACHED_WORDS, OUT_ROWS, OUT_BYTES = 600_000, 20_000, 8 << 20
 
 
@@ -80,7 +82,7 @@ _bpe: dict[tuple, ByteBPE] = {}
 
 
 def byte_bpe(json_path: str, ranks_path: str, pattern: str) -> ByteBPE:
-    """One for each worker process, with its words, for all its tasks."""
+    """One for each worker process, for all its tasks."""
     key = (json_path, ranks_path, pattern)
     if key not in _bpe:
         _bpe[key] = ByteBPE(*key)
@@ -165,17 +167,20 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacit
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for row in bins.add(key, bpe.encode(text.as_py() or "") + mark):
-                    rows.append(row)
-                    held += len(row[3])
-                    if len(rows) >= OUT_ROWS or held >= OUT_BYTES:
-                        yield batch_of()
-                        rows, held = [], 0
-        rows.extend(bins.rest())
-        if rows:
-            yield batch_of()
+        try:
+            for batch in batches:
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    for row in bins.add(key, bpe.encode(text.as_py() or "") + mark):
+                        rows.append(row)
+                        held += len(row[3])
+                        if len(rows) >= OUT_ROWS or held >= OUT_BYTES:
+                            yield batch_of()
+                            rows, held = [], 0
+            rows.extend(bins.rest())
+            if rows:
+                yield batch_of()
+        finally:
+            bpe.clear()  # the words; a worker that waits or does something else holds the vocabulary only
 
     shape = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), shape)

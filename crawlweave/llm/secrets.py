@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlweave.runtime import dropped, measured, small, written
+from crawlweave.runtime import dropped, measured, released, small, written
 
 RULES = "1"
 KINDS = ("assign", "access", "hex")
@@ -72,7 +72,7 @@ def scan(versions: DataFrame, ledger: str, rules: str = RULES) -> DataFrame:
             todo = todo.join(small(passed), same(todo, passed), "left_anti")
         else:
             todo = todo.join(small(unseen), same(todo, unseen), "left_semi")
-        found = todo.select(F.lower(F.hex("blob")).alias("blob"), "text").mapInArrow(_scan, f"blob string, spans {SPANS}")
+        found = todo.select(F.lower(F.hex("blob")).alias("blob"), "text").mapInArrow(released(_scan), f"blob string, spans {SPANS}")
         found.select("blob", F.lit(rules).alias("rules"), "spans").write.mode("append").parquet(ledger)
         dropped(passed)
         known = spark.read.schema(shape).parquet(ledger).where(F.col("rules") == rules).withColumn("blob", F.unhex("blob"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlweave.llm import kernels as K
-from crawlweave.runtime import dropped, written
+from crawlweave.runtime import dropped, released, written
 
 #: Bounds of the training sample: positive and unlabelled texts.
 POSITIVES, UNLABELLED = 4_000, 8_000
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     some = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     taken = rows.join(F.broadcast(ids), "doc_id", "left_semi").limit(2 * positives).select(F.lit(True).alias("positive"), F.xxhash64("doc_id", "text").alias("row"), "text")
     taken = taken.unionByName(some.select(F.lit(False).alias("positive"), F.lit(0).cast("long").alias("row"), "text"))
-    sets = written(taken.mapInArrow(_word_sets, "positive boolean, row long, words array<long>, bands array<long>"), "toxic-sample")
+    sets = written(taken.mapInArrow(released(_word_sets), "positive boolean, row long, words array<long>, bands array<long>"), "toxic-sample")
     known_rows = sets.where("positive").select("row", "bands").orderBy("row").collect()  # bounded by the sample
     kept = [known_rows[i]["row"] for i in _without_copies([r["bands"] for r in known_rows])]
     others = sets.where("not positive").count()
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
             own = [np.packbits(np.isin(words, x.values.to_numpy())).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["positive", "bits"])
 
-    held = chosen.mapInArrow(bits, "positive boolean, bits binary").collect() if len(words) else []  # 250 bytes for each sampled text
+    held = chosen.mapInArrow(released(bits), "positive boolean, bits binary").collect() if len(words) else []  # 250 bytes for each sampled text
     dropped(sets)
     packed = [np.frombuffer(b"".join(r["bits"] for r in held if r["positive"] == x), np.uint8).reshape(-1, (len(words) + 7) // 8) if len(words) else np.zeros((0, 0), np.uint8) for x in (True, False)]
     return train(words, *packed, prior)
@@ -191,7 +191,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_score(batch.column(1), sent.value))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, score double")
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -204,4 +204,4 @@ def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(_score(batch.column(at_text), sent.value) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
