@@ -35,7 +35,9 @@ class Summary:
 
 @dataclass
 class Settings:
-    """What a session of a run needs besides its tables. The logical clock starts at now; without one it is the wall clock."""
+    """What a session of a run needs besides its tables. The logical clock starts at now; without one it is the wall clock.
+
+    batch is how many addresses are claimed between two looks at limits, pauses, max_steps and the wall clock (see `looks_between`)."""
 
     now: str | None = None
     batch: int = 1000
@@ -99,6 +101,11 @@ def ranked(parts: DataFrame, base: int, name: str) -> tuple[DataFrame, int]:
     return parts.withColumn(name, first + F.col("_row")).drop("_part", "_row"), at - base
 
 
+def looks_between(run: dict, s: Settings) -> bool:
+    """Whether something has to be looked at after every batch. If not, a superstep takes all addresses that are ready at once."""
+    return s.now is None or s.pause is not None or s.max_steps is not None or run["max_urls"] is not None or run["max_bytes"] is not None
+
+
 def advance(store: Store, run_id: str, source: Source, settings: Settings | None = None) -> Summary:
     """Steps to quiescence, a limit, a shutdown or max_steps (which pauses the run), and writes the run's end in any case."""
     s = settings or Settings()
@@ -161,7 +168,7 @@ def _superstep(store: Store, run: dict, source: Source, s: Settings, clock: Colu
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    task = Q.claim(table, s.batch, clock)
+    task = Q.claim(table, s.batch, clock) if looks_between(run, s) else table.where(Q.eligible(clock))
     got = source(task.drop("http_status_code", "content_type")).withColumn("has_body", F.coalesce(F.octet_length("body") > 0, F.lit(False)))
     header = lambda name: content.header(F.col("headers"), name)
     got = got.withColumns({"content_type": F.coalesce(header("content-type"), F.lit(content.UNKNOWN_TYPE)), "etag": header("etag"), "location": header("location"), "after": http.retry_after_ms(header("retry-after"), clock), "mismatch": content.length_mismatch(header("content-length"), F.col("body"))})

@@ -50,3 +50,15 @@ def test_limit_and_missing_seed(spark, tmp_path):
     assert {e["normalized_discovered_url"]: e["skip_reason"] for e in edges} == {A + "/a": "limit", A + "/": None}
     out, by, edges, n = crawled(spark, tmp_path / "gone", [("https://example.com/x", 1, 200, HTML, "x")])
     assert (out.status, n, by["/"]["status"], edges) == ("completed_with_failures", 1, "permanent_failed", [])
+
+
+def test_ready_addresses_are_taken_at_once(spark, tmp_path):
+    """Supersteps follow the site's depth, not the number of addresses, and give what batches of two give, which a limit on addresses needs."""
+    page = lambda *to: "".join(f'<a href="{p}">x</a>' for p in to)
+    rows = [(A + "/", 1, 200, HTML, page("/1", "/2", "/3", "/4", "/5")), *[(f"{A}/{k}", 1, 200, HTML, page(f"/{k % 5 + 1}", "/6", f"/{k + 1}0")) for k in range(1, 6)], (A + "/6", 1, 302, {"location": "/60"}, ""), (A + "/60", 1, 200, HTML, page("/"))]
+    got = []
+    for name, more in (("whole", {}), ("batches", {"max_urls": 100})):
+        out, by, edges, n = crawled(spark, tmp_path / name, rows, batch=2, **more)
+        got.append(([(r["normalized_url"], r["seq"], r["depth"], r["redirect_count"], r["status"], r["discovered_from_url_id"]) for r in sorted(by.values(), key=lambda r: r["seq"])], sorted((e["from_url_id"], e["normalized_discovered_url"], e["source"], e["to_url_id"], e["discovered_url"]) for e in edges), out.status))
+        assert (n, out.steps) == (12, 3 if name == "whole" else 7)
+    assert got[0] == got[1]
