@@ -241,4 +241,8 @@ def crawl(spark: SparkSession, site: DataFrame, seed: str, folder: str, now: str
     s = settings or Settings()
     s.now, s.batch, s.max_steps = now, batch, max_steps
     start(store, seed, R.Options(**{"scope_policy": options.pop("policy", "registrable_domain")} | options), F.lit(now).cast("timestamp"), run_id, s.rules)
-    return advance(store, run_id, MockSite(site), s)
+    source = MockSite(site)
+    try:
+        return advance(store, run_id, source, s)
+    finally:
+        source.close()

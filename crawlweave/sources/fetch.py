@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlweave.functions import content
+from crawlweave.runtime import dropped, written
 
 ADDED = "status_code int, headers map<string,string>, body binary, error_kind string, error_status int"
 #: What can go wrong on the way, and seconds until a request is given up.
@@ -31,17 +32,22 @@ class Source(Protocol):
 
 
 class MockSite:
-    """site(url, call_no, status_code, headers, body): the n-th fetch gets the n-th response, the last one repeats, an unknown address is a 404."""
+    """site(url, call_no, status_code, headers, body): the n-th fetch gets the n-th response, the last one repeats, an unknown address is a 404.
+
+    The responses are written once, as every step reads them; `close` deletes them."""
 
     def __init__(self, site: DataFrame):
         calls = site.groupBy("url").agg(F.max("call_no").alias("calls"))
         body = F.encode("body", "UTF-8") if site.schema["body"].dataType == T.StringType() else F.col("body")
-        self.site = site.join(calls, "url").select(F.col("url").alias("s_url"), "call_no", "calls", "status_code", "headers", body.alias("body"))
+        self.site = written(site.join(calls, "url").select(F.col("url").alias("s_url"), "call_no", "calls", "status_code", "headers", body.alias("body")), "site")
 
     def __call__(self, claimed: DataFrame) -> DataFrame:
         got = claimed.join(self.site, (F.col("url") == F.col("s_url")) & (F.col("call_no") == F.least(F.col("fetches") + 1, F.col("calls"))), "left").drop("s_url", "call_no", "calls")
         return got.withColumns({"status_code": F.coalesce("status_code", F.lit(404)), "error_kind": F.lit(None).cast("string"), "error_status": F.lit(None).cast("int")})
 
+    def close(self) -> None:
+        dropped(self.site)
+
 
 def request_url(base: str, url: str) -> str:
     """The service's address for a page: url is written as a form does."""

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: Tables of one version are written side by side; threads are kept, as each has its own connection to the JVM.
+_WRITERS = ThreadPoolExecutor(4, "crawlweave-store")
 
 
 class Conflict(RuntimeError):
@@ -15,6 +21,7 @@ class Conflict(RuntimeError):
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._schemas: dict[str, StructType] = {}
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -32,16 +39,20 @@ class Store:
             stream.close()
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.manifest(version)[table])
+        path = self.manifest(version)[table]
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema  # a job; tables never change once they are written
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
 
     def commit(self, tables: dict[str, DataFrame], expected: int) -> int:
         """Writes tables as the version after `expected`; tables that are not given stay. Only one writer can publish a version."""
         if self.version() != expected:
             raise Conflict(f"version {self.version()}, not {expected}")
-        paths = self.manifest(expected) if expected else {}
-        for name, df in tables.items():
-            paths[name] = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(paths[name])
+        new = {name: f"{self.folder}/{name}/{uuid.uuid4().hex}" for name in tables}
+        paths = (self.manifest(expected) if expected else {}) | new
+        write = inheritable_thread_target(self.spark)(lambda name: tables[name].write.parquet(new[name]))
+        list(_WRITERS.map(write, tables))
+        self._schemas |= {path: tables[name].schema for name, path in new.items()}
         self._publish(expected + 1, paths)
         return expected + 1
 

@@ -62,3 +62,13 @@ def test_ready_addresses_are_taken_at_once(spark, tmp_path):
         got.append(([(r["normalized_url"], r["seq"], r["depth"], r["redirect_count"], r["status"], r["discovered_from_url_id"]) for r in sorted(by.values(), key=lambda r: r["seq"])], sorted((e["from_url_id"], e["normalized_discovered_url"], e["source"], e["to_url_id"], e["discovered_url"]) for e in edges), out.status))
         assert (n, out.steps) == (12, 3 if name == "whole" else 7)
     assert got[0] == got[1]
+
+
+def test_written_tables_are_read_without_a_job(spark, tmp_path):
+    store, sc = Store(spark, f"file://{tmp_path}/s"), spark.sparkContext
+    store.commit({"a": spark.range(3), "b": spark.range(2)}, 0)
+    sc.setJobGroup("reads", "")
+    a, b = store.read("a"), store.read("b")
+    assert not sc.statusTracker().getJobIdsForGroup("reads")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert (a.count(), b.count(), Store(spark, store.folder).read("a").count()) == (3, 2, 3)
