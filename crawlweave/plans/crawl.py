@@ -235,12 +235,14 @@ def _superstep(store: Store, run: dict, source: Source, s: Settings, clock: Colu
     remove(spark, folder)
 
 
-def crawl(spark: SparkSession, site: DataFrame, seed: str, folder: str, now: str = "2026-07-03 12:00:00", batch: int = 1000, max_steps: int | None = None, run_id: str = "run-1", settings: Settings | None = None, **options) -> Summary:
-    """A whole run over a mock site (see MockSite) with a logical clock, which is moved to the next retry when nothing else is left."""
+def crawl(spark: SparkSession, site: DataFrame | Source, seed: str, folder: str, now: str = "2026-07-03 12:00:00", batch: int = 1000, max_steps: int | None = None, run_id: str = "run-1", settings: Settings | None = None, **options) -> Summary:
+    """A whole run over a mock site (see MockSite) or another source with a logical clock, which is moved to the next retry when nothing else is left."""
     store = Store(spark, folder)
     s = settings or Settings()
     s.now, s.batch, s.max_steps = now, batch, max_steps
     start(store, seed, R.Options(**{"scope_policy": options.pop("policy", "registrable_domain")} | options), F.lit(now).cast("timestamp"), run_id, s.rules)
+    if not isinstance(site, DataFrame):
+        return advance(store, run_id, site, s)
     source = MockSite(site)
     try:
         return advance(store, run_id, source, s)

@@ -1,6 +1,10 @@
 """The superstep loop over a mock site, against the expected states of the scenarios in FIXTURES.md."""
 
+from pyspark.sql import functions as F
+
+from crawlweave.operators import runs as R
 from crawlweave.plans import crawl as C
+from crawlweave.sources.fetch import MockSite
 from crawlweave.sources.store import Store
 
 A = "https://example.com"
@@ -72,3 +76,14 @@ def test_written_tables_are_read_without_a_job(spark, tmp_path):
     assert not sc.statusTracker().getJobIdsForGroup("reads")
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert (a.count(), b.count(), Store(spark, store.folder).read("a").count()) == (3, 2, 3)
+
+
+def test_a_resumed_run_takes_the_rest_at_once_from_the_same_source(spark, tmp_path):
+    rows = [(A + "/", 1, 200, HTML, "".join(f'<a href="/{k}">x</a>' for k in range(7))), *[(f"{A}/{k}", 1, 200, HTML, "x") for k in range(7)]]
+    store, source, now = Store(spark, f"file://{tmp_path}/s"), MockSite(spark.createDataFrame(rows, C.SITE)), "2026-07-03 12:00:00"
+    first = C.crawl(spark, source, A + "/", store.folder, batch=2, max_steps=2)
+    assert (first.status, first.steps, store.read("urls").where("status = 'done'").count()) == ("paused", 2, 3)
+    C.resume(store, first.run_id, R.Resume(), F.lit(now).cast("timestamp"))
+    second = C.advance(store, first.run_id, source, C.Settings(now=now, batch=2))
+    source.close()
+    assert (second.status, second.steps, second.counts["done"]) == ("completed", 1, 8)
