@@ -117,8 +117,9 @@ def link_count(spark, sf_dir):
 
 @query("SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages")
 def title_extract(spark, sf_dir):
+    """As the SQL has it, a character reference without a semicolon stays as it is; crawls read it as HTML does."""
     ship(spark)
-    return table(spark, sf_dir, "pages").select("page_id", extract.html_title("html").alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", extract.closed_title("html").alias("title"))
 
 
 @query(r'''WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>') AS tags FROM pages),

@@ -76,3 +76,27 @@ def test_site_graph_report_has_domains_without_links(spark, tmp_path):
     rows = [(1, "https://a.example.com/", '<a href="/x">x</a>'), (2, "https://example.org/", "<p>none</p>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {tuple(r) for r in registry.site_graph_report(spark, str(tmp_path)).collect()} == {("example.com", 1, 1, 1, 1), ("example.org", 1, 0, 0, 0)}
+
+
+ODD_TITLES = ("A&amp;B &lt;i&gt; &quot;q&quot; it&#x27;s", "ends in&amp", "&amp;&amp", "&lt &gt;&ampx; &amp;lt; & &&amp;", "x&notit; y", "")
+
+
+def against_sql(spark, tmp_path, name):
+    """The query's rows and those of its SQL over pages with odd titles."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(k, f"https://example.com/{k}", f'<html><head><title> {t} </title></head><a href="/x?a=1&amp;b=2">x</a></html>') for k, t in enumerate(ODD_TITLES)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = entry.queries()[name](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        want = c.execute(f"select {', '.join(got.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+    return sorted(map(tuple, got.collect())), sorted(want)
+
+
+def test_titles_are_those_of_the_sql(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "title_extract")
+    assert got == want and got[1] == (1, "ends in&amp")
+    assert extract.read_html("<title>ends in&amp</title>")["title"] == "ends in&"
