@@ -35,8 +35,8 @@ class Handler:
     extract: Callable[[bytes, str], Extract]
 
 
-def _html(body: bytes, url: str) -> Extract:
-    page = extract.read_html(body.decode("utf-8", "replace"))
+def _html(body: bytes, url: str, text: Callable[[str], str] = str) -> Extract:
+    page = extract.read_html(text(body.decode("utf-8", "replace")))
     links = []
     for link in page["links"]:
         found, key, _ = whatwg.discovered(link["href"], url)
@@ -57,6 +57,10 @@ HANDLERS = (
 )
 
 
+#: The same, but HTML is read with closed character references only, as the SQL of the queries does.
+CLOSED = (Handler("html", HANDLERS[0].supports, lambda body, url: _html(body, url, extract.closed)), *HANDLERS[1:])
+
+
 def handler_of(content_type: str, handlers: tuple[Handler, ...] = HANDLERS) -> Handler | None:
     """The first handler that supports the type."""
     media = content_type.split(";")[0].strip().lower()
@@ -129,4 +133,4 @@ def inserted(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(old.select("crawl_url_id"), "crawl_url_id", "left_anti").select(old.columns)
 
 
-__all__ = ["HANDLERS", "Extract", "Handler", "content_rows", "file_path", "handler_of", "inserted", "passed_over", "processed", "saved", "urls"]
+__all__ = ["CLOSED", "HANDLERS", "Extract", "Handler", "content_rows", "file_path", "handler_of", "inserted", "passed_over", "processed", "saved", "urls"]

@@ -100,3 +100,8 @@ def test_titles_are_those_of_the_sql(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "title_extract")
     assert got == want and got[1] == (1, "ends in&amp")
     assert extract.read_html("<title>ends in&amp</title>")["title"] == "ends in&"
+
+
+def test_contents_are_those_of_the_sql(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "contents_build")
+    assert got == want and len(got) == len(ODD_TITLES)
